@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .quality import op9_quality
 from .sentencepieces import op1_sentencepiece
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
