@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_decontamination
 from .quality import op9_quality
 from .sentencepieces import op1_sentencepiece
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op7_decontamination": op7_decontamination,
     "op9_quality": op9_quality,
 }
 
