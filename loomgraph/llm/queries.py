@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontamination import op7_decontamination
+from .linededup import op4_line_dedup
 from .neardups import op8_ngram_jaccard
 from .quality import op9_quality
 from .sentencepieces import op1_sentencepiece
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_line_dedup": op4_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality": op9_quality,
