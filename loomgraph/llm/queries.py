@@ -7,10 +7,12 @@ from .linededup import op4_line_dedup
 from .neardups import op8_ngram_jaccard
 from .quality import op9_quality
 from .sentencepieces import op1_sentencepiece
+from .sharding import op6_sharding
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
+    "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality": op9_quality,
