@@ -8,6 +8,7 @@ from .neardups import op8_ngram_jaccard
 from .quality import op9_quality
 from .sentencepieces import op1_sentencepiece
 from .sharding import op6_sharding
+from .topk import op10_topk
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality": op9_quality,
+    "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {}
