@@ -9,9 +9,11 @@ from .quality import op9_quality
 from .sentencepieces import op1_sentencepiece
 from .sharding import op6_sharding
 from .topk import op10_topk
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
