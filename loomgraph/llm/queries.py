@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .classlm import op5_class_lm
 from .decontamination import op7_decontamination
 from .linededup import op4_line_dedup
 from .neardups import op8_ngram_jaccard
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_class_lm": op5_class_lm,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_jaccard": op8_ngram_jaccard,
