@@ -6,6 +6,7 @@ from .classlm import op5_class_lm
 from .decontamination import op7_decontamination
 from .linededup import op4_line_dedup
 from .neardups import op8_ngram_jaccard
+from .pii import op2_pii
 from .quality import op9_quality
 from .sentencepieces import op1_sentencepiece
 from .sharding import op6_sharding
@@ -14,6 +15,7 @@ from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_class_lm": op5_class_lm,
