@@ -5,14 +5,18 @@ class from the start (key k of 64 bits together with the set size n), so copies
 
 1. A pass over the texts counts words and tokens in hash buckets (fixed size, summed over all
    texts) and writes each item's class. The counts estimate how rare a token is.
-2. A second pass orders each set by (estimated rarity, hash), takes the prefix that the threshold
-   requires, and packs its postings by token bucket. A bucket's reducer drops tokens of one
-   class only. A token that many classes of a task share needs one posting per task there; the
-   others go straight through, so a hot token isn't gathered.
-3. Postings meet by token under the length and positional filters. A pair whose
-   postings follow the same preceding shared token has already met there and is left out.
-4. Pairs are distinct, then verified once: sets are sent to blocks of a token's pairs (hot
-   tokens have many blocks), pass the suffix filter (token counts by hash range bound the overlap) and are intersected.
+2. A second pass asks of each token that may be so whether one class only has it: each task sends its distinct
+   tokens by bucket (sorted, so that they pack into few bytes) and gets a bit for each back, in a file of its own.
+   A task that doesn't find its answers takes no token for unshared, which is right but slower.
+3. A third pass orders each set: first unshared tokens, which need no posting, then the others by (estimated
+   rarity, hash). Of the prefix that the threshold requires it packs the shared tokens' postings by token bucket.
+4. Postings of one token meet in its bucket, in order of set size, under the length and positional filters and, on sketches of 64 bits, the suffix filter. A
+   pair whose postings follow the same token has already met there and is left out. Tokens whose count
+   is far above a bucket's mean are spread by class and meet in a Spark join instead, which splits hot keys.
+5. Pairs are distinct and pass the suffix filter: parity sketches of the two sets, of 2 bits or more for
+   each token, bound their Hamming distance from below.
+6. What is left is verified once. Pairs go to blocks by the least neighbour of either end, so that
+   the members of a group meet in few blocks; a large group has many. Only there are sets sent, and intersected.
 
 The order only affects speed: every pair of classes with intersection / union >= percent / 100 is found.
 """
@@ -25,22 +29,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from loomgraph.session import scratch
+from loomgraph.session import cut, scratch
 
 from .common import record, small_batches
+from .packing import pack_sorted, unpack_sorted
 from .textkernel import NOT_SPACE, U64, chunks, mix, scan
 
-#: Buckets of the two count tables (words, tokens): 2 ** BITS each.
-BITS = 21
+#: Buckets of the count tables of words and of tokens, as powers of two.
+BITS = (23, 20)
 PIECE = 1 << 15
-#: Postings that a task holds before it sends them.
+#: Tokens that a task holds before it sends them.
 FLUSH = 1_000_000
-#: Classes of one token that are verified together (two such lots at most are in memory).
+#: Tokens with an estimated count from here on are taken to be shared without being asked for.
+SURELY_SHARED = 16
+#: Classes of one group that are verified together (two such lots at most are in memory).
 LOT = 128
 #: Bits of the Bloom filter that keeps sets that no pair needs from being sent; a full filter only sends more.
 BLOOM_BITS = 1 << 26
@@ -127,6 +133,23 @@ def _six(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
 
 
+def _five(a: np.ndarray) -> bytes:
+    """Tokens as 5 bytes each."""
+    return np.ascontiguousarray((a >> U64(24)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from_five(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+def _ends(pairs: DataFrame, *more: str) -> DataFrame:
+    """k, n of both ends of the pairs, after other columns; repeated."""
+    end = lambda i: F.struct(F.col(f"k{i}").alias("k"), F.col(f"n{i}").alias("n"))
+    return pairs.select(*more, F.explode(F.array(end(1), end(2))).alias("e")).select(*more, "e.k", "e.n")
+
+
 def _whole(b: bytes) -> np.ndarray:
     six = _unpack(b, np.uint8).reshape(-1, 6)
     out = np.zeros((len(six), 8), np.uint8)
@@ -134,32 +157,164 @@ def _whole(b: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _met(tok: np.ndarray, k: np.ndarray, n: np.ndarray, pos: np.ndarray, prev: np.ndarray, parity: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of postings of one token that pass the length, positional and (for small sets) suffix filters and haven't met at the token before."""
+    order = np.lexsort((k, n, tok))
+    tok, k, n, pos, prev = tok[order], k[order], n[order].astype(np.int64), pos[order].astype(np.int64), prev[order]
+    parity = parity[order]
+    new = np.r_[True, (tok[1:] != tok[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])] if len(tok) else np.zeros(0, bool)
+    tok, k, n, pos, prev, parity = tok[new], k[new], n[new], pos[new], prev[new], parity[new]
+    alive, step, got, size = np.arange(len(tok) - 1), 0, [], 0
+    while len(alive):  # sizes ascend within a token: once a partner is too large, all later ones are
+        step += 1
+        alive = alive[alive + step < len(tok)]
+        j = alive + step
+        ok = (tok[alive] == tok[j]) & (n[j] * percent <= n[alive] * 100)
+        alive, j = alive[ok], j[ok]
+        good = (np.minimum(n[alive] - pos[alive], n[j] - pos[j]) * (100 + percent) >= (n[alive] + n[j]) * percent) & ((prev[alive] != prev[j]) | (prev[alive] == 0))
+        good &= np.bitwise_count(parity[alive] ^ parity[j]).astype(np.int64) * (100 + percent) <= (n[alive] + n[j]) * (100 - percent)
+        if good.any():
+            got.append(np.column_stack([k[alive[good]], n[alive[good]], k[j[good]], n[j[good]]]))
+            size += len(got[-1])
+        if got and (size > 1_000_000 or not len(alive)):
+            yield _distinct(np.concatenate(got))
+            got, size = [], 0
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    rows = rows[np.lexsort(rows.T)]
+    return tuple(rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]].T)
+
+
+@dataclass
+class _Census:
+    """Distinct tokens of a lot, ascending; whether two of its classes have it; the place of each of the lot's tokens among them."""
+
+    tokens: np.ndarray
+    shared: np.ndarray
+    place: np.ndarray
+
+    def by_bucket(self, buckets: int, below: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The places of tokens to ask for, bucket by bucket."""
+        at = np.flatnonzero((self.tokens >> U64(42)) < U64(below))
+        bucket = (mix(self.tokens[at]) % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        at, bucket = at[order], bucket[order]
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(at) else []
+        for a, b in zip(edge, [*edge[1:], len(at)]):
+            yield int(bucket[a]), at[a:b]
+
+
+@dataclass
+class _Held:
+    """Items with their tokens in order: item of each token, token, and each item's size and key."""
+
+    item: np.ndarray
+    token: np.ndarray
+    size: np.ndarray
+    k: np.ndarray
+
+    def census(self) -> _Census:
+        _, own = np.unique(self.k, return_inverse=True)
+        order = np.argsort(self.token)
+        t, c = self.token[order], own[self.item[order]]
+        head = np.r_[True, t[1:] != t[:-1]]
+        first = np.flatnonzero(head)
+        place = np.empty(len(t), np.int64)
+        place[order] = np.cumsum(head) - 1
+        return _Census(t[first], np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first), place)
+
+    def postings(self, shared: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+        """token, k, n, pos, prev, parity of the shared tokens of all prefixes; prev is the shared token before it, 0 for the first;
+        parity is the set's sketch in 64 bits, which for small sets is enough for the suffix filter."""
+        parity = np.zeros(len(self.size), U64)
+        full = np.flatnonzero(self.size)
+        if len(full):
+            parity[full] = np.bitwise_xor.reduceat(U64(1) << (self.token & U64(63)), (np.cumsum(self.size) - self.size)[full])
+        item, token = self.item[shared], self.token[shared]
+        count = np.bincount(item, minlength=len(self.size))
+        place = np.arange(len(item)) - (np.cumsum(count) - count)[item]
+        pos = (self.size - count)[item] + place  # unshared tokens come first
+        take = pos < (self.size - (percent * self.size + 99) // 100 + 1)[item]
+        prev = np.where(place > 0, np.r_[U64(0), token[:-1]], U64(0))[take] if len(item) else token
+        return token[take], self.k[item][take], self.size[item][take].astype(np.int32), np.minimum(pos[take], 65535).astype(np.uint16), prev.astype(np.uint32), parity[item][take]
+
+
+def _answers(path: str, block: int) -> dict[tuple[int, int], tuple[int, int, bytes]]:
+    """What the shared folder holds for a task's block, by lot and bucket."""
+    from pyarrow import dataset, fs
+
+    where, inside = fs.FileSystem.from_uri(path)
+    folder = f"{inside}/block={block}"
+    if where.get_file_info(folder).type == fs.FileType.NotFound:
+        return {}
+    t = dataset.dataset(folder, filesystem=where, format="parquet").to_table(["lot", "bucket", "n", "total", "bits"])
+    return {(r[0], r[1]): r[2:] for r in zip(*(c.to_pylist() for c in t.columns))}
+
+
 @dataclass
 class Rarity:
     """Levels 0 to 63 of a token: by its words' share of all words, as if they met by chance, or by its own
     bucket's count beyond what chance puts there, whichever is more."""
 
-    words: np.ndarray
-    tokens: np.ndarray | None
+    words: np.ndarray  # 6 log2(1 + count) of a bucket
+    tokens: np.ndarray | None  # log2 of a bucket's count beyond chance
     n: float
 
+    def hot(self) -> int:
+        """The level from which on a token's postings are too many for a bucket: its count is above the mean of a token bucket by far."""
+        usual = 4 * self.n / (1 << BITS[1]) + 2000
+        return min(63, int(2 * np.log2(usual) if self.tokens is None else 1.2 * np.log2(usual) + 36))
+
+    def asked_below(self) -> int:
+        return int(2 * np.log2(1 + SURELY_SHARED) if self.tokens is None else 1.2 * np.log2(SURELY_SHARED) + 36) + 1
+
     def __call__(self, s: Sets) -> np.ndarray:
-        lw = self.words[(s.left >> U64(64 - BITS)).astype(np.int64)]
+        lw = self.words[_bucket(s.left, 0)] / np.float32(6)
         if s.right is None:
             return np.clip(np.rint(2 * lw), 0, 63)
-        chance = lw + self.words[(s.right >> U64(64 - BITS)).astype(np.int64)] - np.float32(np.log2(self.n + 1))
-        level = np.maximum(chance, self.tokens[(s.token >> U64(64 - BITS)).astype(np.int64)])
-        return np.clip(np.rint(1.5 * level + 32), 0, 63)
+        chance = lw + self.words[_bucket(s.right, 0)] / np.float32(6) - np.float32(np.log2(self.n + 1))
+        level = np.maximum(chance, self.tokens[_bucket(s.token, 1)])
+        return np.clip(np.rint(1.2 * level + 36), 0, 63)
+
+
+def _bucket(h: np.ndarray, table: int) -> np.ndarray:
+    return (h >> U64(64 - BITS[table])).astype(np.int64)
+
+
+def sketches(item: np.ndarray, token: np.ndarray, size: np.ndarray) -> bytes:
+    """Parity sketches of all items, one after the other: bit t mod B is set when an odd number of tokens have it."""
+    bits = sketch_bits(size)
+    at = np.cumsum(bits) - bits
+    odd = np.bincount(at[item] + (token.astype(np.int64) & (bits[item] - 1)), minlength=int(bits.sum())) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-_A = pa.schema([("kind", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary()), ("doc", pa.binary()), ("part", pa.binary()), ("k", pa.binary()), ("n", pa.binary())])
+def sketch_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of a sketch: the power of two from 2 * size up, 32 at least; none for the empty set."""
+    size = np.asarray(size, dtype=np.int64)
+    return np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(2 * size, 32))).astype(np.int64), 0)
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """No more than the number of tokens that one of the two sets only has."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+_A = pa.schema([("kind", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary()), ("doc", pa.binary()), ("part", pa.binary()), ("k", pa.binary()), ("n", pa.binary()), ("sketch", pa.binary())])
 
 
 class SetJoin:
     """The join over `texts` (doc_id, text). `kind` makes a chunk's items; classes() and links() are its results."""
 
-    def __init__(self, texts: DataFrame, kind: Callable[[np.ndarray, np.ndarray], Sets], percent: int):
-        self.texts, self.kind, self.percent = texts, kind, percent
+    def __init__(self, texts: DataFrame, kind: Callable[[np.ndarray, np.ndarray], Sets], percent: int, ask: bool = True):
+        """ask=False leaves out the pass that finds unshared tokens: where counts of words tell them well enough."""
+        self.texts, self.kind, self.percent, self.ask = texts, kind, percent, ask
         self.spark = texts.sparkSession
         path = scratch(self.spark, "classes")
         self._first_pass().write.parquet(path)
@@ -169,25 +324,25 @@ class SetJoin:
         kind = self.kind
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = [np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)]
+            counts = [np.zeros(1 << b, np.int32) for b in BITS]
             for batch in batches:
                 ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
                 for i, j, data, off in chunks(batch.column(1)):
                     s = kind(data, off)
-                    np.add.at(counts[0], (s.left >> U64(64 - BITS)).astype(np.int64), 1)
+                    np.add.at(counts[0], _bucket(s.left, 0), 1)
                     if s.right is not None:
-                        np.add.at(counts[1], (s.token >> U64(64 - BITS)).astype(np.int64), 1)
-                    _, _, size, k = ordered(s, None)
-                    yield record(_A, [0], [0], [b""], [_pack(ids[i:j][s.row])], [_pack(s.part.astype(np.int32))], [_pack(k)], [_pack(size.astype(np.int32))])
+                        np.add.at(counts[1], _bucket(s.token, 1), 1)
+                    item, token, size, k = ordered(s, None)
+                    yield record(_A, [0], [0], [b""], [_pack(ids[i:j][s.row])], [_pack(s.part.astype(np.int32))], [_pack(k)], [_pack(size.astype(np.int32))], [sketches(item, token, size)])
             for which, c in enumerate(counts):
                 if c.any():
-                    for p in range(0, 1 << BITS, PIECE):
-                        yield record(_A, [1 + which], [p // PIECE], [_pack(c[p : p + PIECE])], [b""], [b""], [b""], [b""])
+                    for p in range(0, len(c), PIECE):
+                        yield record(_A, [1 + which], [p // PIECE], [_pack(c[p : p + PIECE].astype(np.int64))], [b""], [b""], [b""], [b""], [b""])
 
-        return self.texts.mapInArrow(run, "kind int, piece int, counts binary, doc binary, part binary, k binary, n binary")
+        return self.texts.mapInArrow(run, "kind int, piece int, counts binary, doc binary, part binary, k binary, n binary, sketch binary")
 
     def rarity(self) -> Rarity:
-        """The count tables summed: 2 ** BITS numbers each come to the driver, whatever the input."""
+        """The count tables summed: tables of a fixed size come to the driver, whatever the input."""
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[tuple[int, int], np.ndarray] = {}
@@ -199,12 +354,15 @@ class SetJoin:
                 yield record(pa.schema(list(_A)[:3]), [k for k, _ in total], [p for _, p in total], [_pack(c) for c in total.values()])
 
         got = self.first.where("kind > 0").select("kind", "piece", "counts").repartition("kind", "piece").mapInArrow(add, "kind int, piece int, counts binary").collect()
-        tables = np.zeros((2, 1 << BITS))
+        tables = [np.zeros(1 << b, np.int64) for b in BITS]
         for kind, piece, c in got:
-            tables[kind - 1, piece * PIECE : (piece + 1) * PIECE] += _unpack(bytes(c), np.int64)
+            tables[kind - 1][piece * PIECE : (piece + 1) * PIECE] += _unpack(bytes(c), np.int64)
+        n = float(tables[0].sum())
+        words = np.rint(6 * np.log2(1 + tables[0])).astype(np.uint8)
+        if not tables[1].any():
+            return Rarity(words, None, n)
         chance = tables[1].mean()
-        beyond = np.log2(np.maximum(tables[1] - 2 * chance - 3 * np.sqrt(chance), 2.0**-20)).astype(np.float32)
-        return Rarity(np.log2(1 + tables[0]).astype(np.float32), beyond, float(tables[0].sum()))
+        return Rarity(words, np.log2(np.maximum(tables[1] - 2 * chance - 3 * np.sqrt(chance), 2.0**-20)).astype(np.float32), n)
 
     def items(self) -> DataFrame:
         """doc, part, k, n of every item of every row, those with empty sets (n = 0) too."""
@@ -222,94 +380,170 @@ class SetJoin:
         """k, n, doc and part of the first item in order, copies: one row for each distinct set but the empty one."""
         return self.items().where("n > 0").groupBy("k", "n").agg(F.min(F.struct("doc", "part")).alias("least"), F.count("*").alias("copies")).select("k", "n", "least.doc", "least.part", "copies")
 
-    def postings(self, rarity: Broadcast) -> DataFrame:
-        """tok, k, n, pos of prefix tokens that two classes at least have."""
-        kind, percent = self.kind, self.percent
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        schema = pa.schema([("bucket", pa.int32()), ("sure", pa.bool_()), ("tok", pa.binary()), ("k", pa.binary()), ("n", pa.binary()), ("pos", pa.binary())])
-        out = pa.schema([("tok", pa.int64()), ("k", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-
-        def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            tok, k, n, pos = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((k, tok))
-            tok, k, n, pos = tok[order], k[order], n[order], pos[order]
-            new = np.r_[True, (tok[1:] != tok[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])]
-            tok, k, n, pos = tok[new], k[new], n[new], pos[new]
-            head = np.r_[True, tok[1:] != tok[:-1]]
-            shared = np.diff(np.r_[np.flatnonzero(head), len(tok)])[np.cumsum(head) - 1] > 1
-            flagged = np.where(shared & head, pos | np.int32(1 << 30), pos).astype(np.int32)
-            bucket = (mix(tok) % U64(buckets)).astype(np.int32)
-            for sure, mask in ((False, head), (True, shared & ~head)):
-                at = np.flatnonzero(mask)
-                at = at[np.lexsort((k[at], bucket[at]))]
-                edge = np.flatnonzero(np.r_[True, bucket[at][1:] != bucket[at][:-1]]) if len(at) else []
-                for i, j in zip(edge, [*edge[1:], len(at)]):
-                    x = at[i:j]
-                    yield record(schema, [bucket[x[0]]], [sure], [_pack(_six(tok[x]))], [_pack(k[x])], [_pack(n[x])], [_pack(flagged[x])])
+    def _held(self, shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[_Held]]:
+        """Lots of a task's items with all their tokens; the same in each pass over the same partition."""
+        kind = self.kind
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, ...]] = []
-            count = 0
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[_Held]:
+            got: list[tuple[np.ndarray, ...]] = []
+            count = items = 0
             for batch in batches:
                 for _, _, data, off in chunks(batch.column(1)):
-                    item, token, size, k = ordered(kind(data, off), rarity.value)
-                    if not len(item):
-                        continue
-                    place = np.arange(len(item)) - (np.cumsum(size) - size)[item]
-                    least = (percent * size + 99) // 100
-                    take = place < (size - least + 1)[item]
-                    at = item[take]
-                    held.append((token[take], k[at], size[at].astype(np.int32), place[take].astype(np.int32)))
-                    count += len(at)
+                    item, token, size, k = ordered(kind(data, off), shared.value)
+                    got.append((item + items, token, size, k))
+                    items += len(size)
+                    count += len(token)
                     if count >= FLUSH:
-                        yield from sent(held)
-                        held, count = [], 0
-            if held:
-                yield from sent(held)
+                        yield _Held(*(np.concatenate(c) for c in zip(*got)))
+                        got, count, items = [], 0, 0
+            if count:
+                yield _Held(*(np.concatenate(c) for c in zip(*got)))
+
+        return run
+
+    def _ask(self, shared: Broadcast, buckets: int, below: int) -> str:
+        """A folder with, for each task of the texts (block), bits that tell which of its tokens are shared."""
+        lots = self._held(shared)
+        asked = pa.schema([("block", pa.int32()), ("lot", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("flags", pa.binary())])
+        told = pa.schema([("block", pa.int32()), ("lot", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("total", pa.int64()), ("bits", pa.binary())])
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = TaskContext.get().partitionId()
+            for i, lot in enumerate(lots(batches)):
+                c = lot.census()
+                for bucket, at in c.by_bucket(buckets, below):
+                    yield record(asked, [block], [i], [bucket], [pack_sorted(c.tokens[at])], [np.packbits(c.shared[at]).tobytes()])
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, tokens, flags = [], [], []
+            for batch in batches:
+                for block, lot, bucket, t, f in zip(*(c.to_pylist() for c in batch.columns)):
+                    t = unpack_sorted(t)
+                    rows.append((block, lot, bucket, len(t), int(t.sum().view(np.int64))))
+                    tokens.append(t)
+                    flags.append(np.unpackbits(np.frombuffer(f, np.uint8), count=len(t)).astype(bool))
+            if not rows:
+                return
+            every = np.concatenate(tokens)
+            order = np.argsort(every)
+            head = np.r_[True, every[order][1:] != every[order][:-1]]
+            group = np.cumsum(head) - 1
+            many = (np.bincount(group) > 1) | (np.bincount(group, weights=np.concatenate(flags)[order]) > 0)
+            known = np.zeros(len(every), bool)
+            known[order] = many[group]
+            bits = [np.packbits(b).tobytes() for b in np.split(known, np.cumsum([r[3] for r in rows])[:-1])]
+            yield record(told, *zip(*rows), bits)
+
+        path = scratch(self.spark, "shared")
+        answers = self.texts.mapInArrow(ask, "block int, lot int, bucket int, tokens binary, flags binary").repartition(buckets, "bucket")
+        answers.mapInArrow(tell, "block int, lot int, bucket int, n int, total long, bits binary").repartition("block").write.partitionBy("block").parquet(path)
+        return path
+
+    def pairs(self, rarity: Rarity) -> DataFrame:
+        """k1, n1, k2, n2: each candidate pair of classes once."""
+        percent = self.percent
+        shared = self.spark.sparkContext.broadcast(rarity)
+        buckets = max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # longer runs of a class in each
+        hot, below = U64(rarity.hot()), rarity.asked_below()
+        lots, told = self._held(shared), self._ask(shared, buckets, below) if self.ask else None
+        schema = pa.schema([("bucket", pa.int32()), ("tok", pa.binary()), ("k", pa.binary()), ("n", pa.binary()), ("pos", pa.binary()), ("prev", pa.binary()), ("parity", pa.binary())])
+        out = pa.schema([("tok", pa.int64()), ("k1", pa.int64()), ("n1", pa.int32()), ("k2", pa.int64()), ("n2", pa.int32()), ("pos", pa.int32()), ("prev", pa.int64()), ("parity", pa.int64())])
+        ddl = "tok long, k1 long, n1 int, k2 long, n2 int, pos int, prev long, parity long"
+
+        def sent(tok: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+            k, n = more[:2]
+            order = np.lexsort((k, tok))
+            t, c, m = tok[order], k[order], n[order]
+            same = np.r_[False, (t[1:] == t[:-1]) & (c[1:] == c[:-1]) & (m[1:] == m[:-1])] if len(tok) else np.zeros(0, bool)
+            at = order[~same]  # a class of this lot once
+            bucket = (mix(tok[at]) % U64(buckets)).astype(np.int32)
+            warm = (tok[at] >> U64(42)) >= hot  # spread by class: their postings meet in a join that splits them further
+            bucket[warm] = buckets + (mix(k[at][warm].view(U64)) % U64(buckets)).astype(np.int32)
+            by = np.lexsort((k[at], bucket))
+            at, bucket = at[by], bucket[by]
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(at) else []
+            for a, b in zip(edge, [*edge[1:], len(at)]):
+                x = at[a:b]
+                yield record(schema, [bucket[a]], [_pack(_six(tok[x]))], *([_pack(c[x])] for c in more))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            answers = _answers(told, TaskContext.get().partitionId()) if told else {}
+            for i, lot in enumerate(lots(batches)):
+                if not told:
+                    yield from sent(*lot.postings(np.ones(len(lot.token), bool), percent))
+                    continue
+                c = lot.census()
+                known = c.shared | (c.tokens >> U64(42) >= U64(below))
+                for bucket, at in c.by_bucket(buckets, below):
+                    n, total, bits = answers.get((i, bucket), (0, 0, b""))
+                    if n == len(at) and total == int(c.tokens[at].sum().view(np.int64)):
+                        known[at] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+                    else:
+                        known[at] = True
+                yield from sent(*lot.postings(known[c.place], percent))
 
         def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, ...]] = []
+            held: dict[int, list[tuple[np.ndarray, ...]]] = {}
             for batch in batches:
-                for sure, tok, k, n, pos in zip(*(batch.column(x).to_pylist() for x in range(1, 6))):
-                    own = (_whole(tok), _unpack(k, np.int64), _unpack(n, np.int32), _unpack(pos, np.int32))
-                    if sure:
-                        yield record(out, own[0].astype(np.int64), *own[1:])
+                for bucket, tok, k, n, pos, prev, parity in zip(*(c.to_pylist() for c in batch.columns)):
+                    own = (_whole(tok), _unpack(k, np.int64), _unpack(n, np.int32), _unpack(pos, np.uint16), _unpack(prev, np.uint32), _unpack(parity, U64))
+                    if bucket < buckets:
+                        held.setdefault(bucket, []).append(own)
                     else:
-                        held.append(own)
-            if held:
-                tok, k, n, pos = (np.concatenate(x) for x in zip(*held))
-                order = np.argsort(tok, kind="stable")
-                tok = tok[order]
-                head = np.r_[True, tok[1:] != tok[:-1]]
-                group = np.cumsum(head) - 1
-                known = np.bincount(group, weights=(pos[order] >> 30) & 1) > 0
-                many = np.bincount(group) > 1
-                keep = (known | many)[group]
-                order, tok = order[keep], tok[keep]
-                for i in range(0, len(tok), 1 << 16):
-                    o = order[i : i + (1 << 16)]
-                    yield record(out, tok[i : i + (1 << 16)].astype(np.int64), k[o], n[o], pos[o] & np.int32((1 << 30) - 1))
-
-        packed = self.texts.mapInArrow(run, "bucket int, sure boolean, tok binary, k binary, n binary, pos binary")
-        return packed.repartition(buckets, "bucket").mapInArrow(reduce, "tok long, k long, n int, pos int")
-
-    def pairs(self, postings: DataFrame) -> DataFrame:
-        """tok, k1, n1, k2, n2: each candidate pair of classes once."""
-        p = self.percent
-        own = postings.repartition("k", "n").groupBy("k", "n", "tok").agg(F.min("pos").alias("pos"))
-        own = own.withColumn("prev", F.lag("tok", 1, -1).over(Window.partitionBy("k", "n").orderBy("tok")))
-        a = own.select("tok", *(F.col(c).alias(f"{c}1") for c in ("k", "n", "pos", "prev")))
-        b = own.select("tok", *(F.col(c).alias(f"{c}2") for c in ("k", "n", "pos", "prev")))
+                        yield record(out, own[0].astype(np.int64), own[1], own[2], [None] * len(own[1]), [None] * len(own[1]), own[3].astype(np.int32), own[4].astype(np.int64), own[5].view(np.int64))
+            for parts in held.values():
+                for k1, n1, k2, n2 in _met(*(np.concatenate(x) for x in zip(*parts)), percent):
+                    none = [None] * len(k1)
+                    yield record(out, none, k1, n1, k2, n2, none, none, none)
+
+        path = scratch(self.spark, "pairs")
+        self.texts.mapInArrow(run, "bucket int, tok binary, k binary, n binary, pos binary, prev binary, parity binary").repartition(buckets, "bucket").mapInArrow(reduce, ddl).write.parquet(path)
+        both = self.spark.read.schema(ddl).parquet(path)
+        own = both.where("tok is not null").select("tok", F.col("k1").alias("k"), F.col("n1").alias("n"), "pos", "prev", "parity").groupBy("tok", "k", "n").agg(F.min("pos").alias("pos"), F.min("prev").alias("prev"), F.min("parity").alias("parity"))
+        a, b = (own.select("tok", *(F.col(c).alias(f"{c}{i}") for c in ("k", "n", "pos", "prev", "parity"))) for i in (1, 2))
+        p = percent
         met = a.join(b, "tok").where(
             ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("k1") < F.col("k2"))))
             & (F.col("n2") * p <= F.col("n1") * 100)  # length
             & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (100 + p) >= (F.col("n1") + F.col("n2")) * p)  # position
-            & ((F.col("prev1") != F.col("prev2")) | (F.col("prev1") == -1))
+            & ((F.col("prev1") != F.col("prev2")) | (F.col("prev1") == 0))
+            & (F.bit_count(F.col("parity1").bitwiseXOR(F.col("parity2"))) * (100 + p) <= (F.col("n1") + F.col("n2")) * (100 - p))  # suffix
         )
-        return met.groupBy("k1", "n1", "k2", "n2").agg(F.min("tok").alias("tok"))
+        keys = ("k1", "n1", "k2", "n2")
+        return both.where("tok is null").select(*keys).unionByName(met.select(*keys)).distinct()
+
+    def near(self, placed: DataFrame) -> DataFrame:
+        """The placed pairs whose sketches don't rule them out."""
+        bloom = self.spark.sparkContext.broadcast(_bloom(_ends(placed)))
+        percent = self.percent
+        one = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple[int, int]] = set()
+            for batch in batches:
+                for k, n, sketch in zip(*(batch.column(x).to_pylist() for x in range(3))):
+                    k, n = _unpack(k, np.int64), _unpack(n, np.int32)
+                    size = sketch_bits(n) // 8
+                    at = np.cumsum(size) - size
+                    rows = []
+                    for i in np.flatnonzero((n > 0) & _in_bloom(bloom.value, k)).tolist():
+                        if (key := (int(k[i]), int(n[i]))) not in seen:
+                            seen.add(key)
+                            rows.append((*key, sketch[at[i] : at[i] + size[i]]))
+                    if rows:
+                        yield record(one, *zip(*rows))
+
+        def judge(at: tuple, members: dict, wanted: list) -> list[tuple]:
+            return [(*at, a, b, c, d) for a, b, c, d in wanted if distance(members[a, b][3], members[c, d][3]) * (100 + percent) <= (b + d) * (100 - percent)]
+
+        picked = self.first.where("kind = 0").select("k", "n", "sketch").mapInArrow(pick, "k long, n int, sketch binary").groupBy("k", "n").agg(F.min("sketch").alias("payload"))
+        none = picked.select("k", "n", F.lit(0).cast("long").alias("doc"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("copies"), "payload")
+        narrow = ("lo", "hi", "n1", "n2")
+        schema = pa.schema([(c, pa.int32() if c in narrow else pa.int64()) for c in ("home", "lo", "hi", "k1", "n1", "k2", "n2")])
+        return self._meet(placed, none, judge, schema, "home long, lo int, hi int, k1 long, n1 int, k2 long, n2 int")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """k, n, tokens (sorted 64-bit hashes, packed) of wanted classes and perhaps others; a class may come once from each task."""
+        """k, n, tokens (40 bits of each hash) of wanted classes and perhaps others; a class may come once from each task."""
         kind = self.kind
         bloom = self.spark.sparkContext.broadcast(_bloom(wanted))
         schema = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
@@ -329,69 +563,75 @@ class SetJoin:
                     for i in new:
                         if (key := (int(k[i]), int(size[i]))) not in seen:
                             seen.add(key)
-                            rows.append((*key, np.unique(s.token[order[first[i] : first[i + 1]]]).tobytes()))
+                            rows.append((*key, _five(np.unique(s.token[order[first[i] : first[i + 1]]]))))
                     yield record(schema, *zip(*rows))
 
         return self.texts.mapInArrow(run, "k long, n int, tokens binary")
 
     def verified(self, pairs: DataFrame, classes: DataFrame, found: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
-        """`found` of each block: it gets the members {(k, n): (doc, part, copies)} and the linked pairs of them, and gives rows."""
+        """`found` of each block: it gets the members {(k, n): (doc, part, copies, ...)} and the linked pairs of them, and gives rows."""
         percent = self.percent
-        ends = pairs.select("tok", F.col("k1").alias("k"), F.col("n1").alias("n")).unionByName(pairs.select("tok", F.col("k2").alias("k"), F.col("n2").alias("n"))).distinct()
-        lots = ends.groupBy("tok").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+        near = cut(self.near(cut(self.placed(pairs))))
+        sets = self.sets(_ends(near)).groupBy("k", "n").agg(F.min("tokens").alias("payload"))
+        own = classes.join(sets, ["k", "n"]).select("k", "n", "doc", "part", "copies", "payload")
+        return self._meet(near, own, lambda at, members, wanted: found(members, _linked(members, wanted, percent)), schema, ddl)
+
+    def placed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs with their blocks: home, lo, hi.
+
+        A pair's home is the least neighbour of either end; a home with more than LOT classes has blocks for each two lots of them.
+        """
+        both = pairs.unionByName(pairs.select(F.col("k2").alias("k1"), F.col("n2").alias("n1"), F.col("k1").alias("k2"), F.col("n1").alias("n2")))
+        least = both.groupBy("k1", "n1").agg(F.min("k2").alias("m")).select("k1", "n1", F.least("k1", "m").alias("m"))
+        homes = pairs.join(least.withColumnRenamed("m", "m1"), ["k1", "n1"]).join(least.select(F.col("k1").alias("k2"), F.col("n1").alias("n2"), F.col("m").alias("m2")), ["k2", "n2"])
+        homes = homes.select(F.least("m1", "m2").alias("home"), "k1", "n1", "k2", "n2")
+        lots = _ends(homes, "home").distinct().groupBy("home").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
         lot = lambda k: F.pmod(F.xxhash64(k), F.col("lots")).cast("int")
-        placed = pairs.join(lots, "tok").withColumn("x", lot("k1")).withColumn("y", lot("k2"))
-        placed = placed.select("tok", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "k1", "n1", "k2", "n2")
-        need = placed.select("tok", "lo", "hi", F.col("k1").alias("k"), F.col("n1").alias("n")).unionByName(placed.select("tok", "lo", "hi", F.col("k2").alias("k"), F.col("n2").alias("n"))).distinct()
-        sets = self.sets(ends.select("k", "n")).groupBy("k", "n").agg(F.min("tokens").alias("tokens"))
-        members = need.join(classes.join(ends.select("k", "n").distinct(), ["k", "n"], "left_semi").join(sets, ["k", "n"]), ["k", "n"])
+        placed = homes.join(lots, "home").withColumn("x", lot("k1")).withColumn("y", lot("k2"))
+        return placed.select("home", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "k1", "n1", "k2", "n2")
+
+    def _meet(self, placed: DataFrame, own: DataFrame, judge: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
+        """The rows that `judge` makes of each block of pairs; own: k, n, doc, part, copies, payload of the classes."""
+        block = ("home", "lo", "hi")
+        members = _ends(placed, *block).distinct().join(own, ["k", "n"])
         none = lambda t: F.lit(None).cast(t)
-        rows = members.select("tok", "lo", "hi", F.lit(0).alias("what"), "k", "n", none("long").alias("k2"), none("int").alias("n2"), "doc", "part", "copies", "tokens").unionByName(
-            placed.select("tok", "lo", "hi", F.lit(1).alias("what"), F.col("k1").alias("k"), F.col("n1").alias("n"), "k2", "n2", none("long").alias("doc"), none("int").alias("part"), none("long").alias("copies"), none("binary").alias("tokens"))
+        rows = members.select(*block, F.lit(0).alias("what"), "k", "n", none("long").alias("k2"), none("int").alias("n2"), "doc", "part", "copies", "payload").unionByName(
+            placed.select(*block, F.lit(1).alias("what"), F.col("k1").alias("k"), F.col("n1").alias("n"), "k2", "n2", none("long").alias("doc"), none("int").alias("part"), none("long").alias("copies"), none("binary").alias("payload"))
         )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, members, wanted = None, {}, []
             for batch in batches:
-                cols = [c.to_pylist() for c in batch.columns]
                 out = []
-                for tok, lo, hi, what, k, n, k2, n2, doc, part, copies, tokens in zip(*cols):
-                    if (tok, lo, hi) != at:
+                for home, lo, hi, what, k, n, k2, n2, doc, part, copies, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (home, lo, hi) != at:
                         if at is not None:
-                            out += found(members, _linked(members, wanted, percent))
-                        at, members, wanted = (tok, lo, hi), {}, []
+                            out += judge(at, members, wanted)
+                        at, members, wanted = (home, lo, hi), {}, []
                     if what:
                         wanted.append((k, n, k2, n2))
                     else:
-                        members[k, n] = (doc, part, copies, np.frombuffer(tokens, U64))
+                        members[k, n] = (doc, part, copies, payload)
                 if out:
                     yield record(schema, *zip(*out))
-            if at is not None and (out := found(members, _linked(members, wanted, percent))):
+            if at is not None and (out := judge(at, members, wanted)):
                 yield record(schema, *zip(*out))
 
         small_batches(self.texts)
-        return rows.repartition("tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi", "what").mapInArrow(run, ddl)
+        return rows.repartition(*block).sortWithinPartitions(*block, "what").mapInArrow(run, ddl)
 
 
 def _linked(members: dict, wanted: list, percent: int) -> list:
     """The wanted pairs that reach the threshold."""
     keys = {m: i for i, m in enumerate(members)}
-    tokens = [m[3] for m in members.values()]
-    spread = np.zeros((len(tokens), 32), np.int32)
-    for i, t in enumerate(tokens):
-        spread[i] = np.bincount((t >> U64(59)).astype(np.int64), minlength=32)
-    pairs = [(keys[a, b], keys[c, d]) for a, b, c, d in wanted]
+    tokens = [_from_five(m[3]) for m in members.values()]
     out = []
-    for lo in range(0, len(pairs), 4096):
-        x = np.array(pairs[lo : lo + 4096])
-        most = np.minimum(spread[x[:, 0]], spread[x[:, 1]]).sum(axis=1)
-        total = spread[x[:, 0]].sum(axis=1) + spread[x[:, 1]].sum(axis=1)
-        for i in np.flatnonzero(most * (100 + percent) >= total * percent).tolist():  # the suffix filter
-            both = np.concatenate((tokens[x[i, 0]], tokens[x[i, 1]]))
-            both.sort()
-            same = int((both[1:] == both[:-1]).sum())
-            if 100 * same >= percent * (len(both) - same):
-                out.append((wanted[lo + i][:2], wanted[lo + i][2:]))
+    for a, b, c, d in wanted:
+        both = np.concatenate((tokens[keys[a, b]], tokens[keys[c, d]]))
+        both.sort()
+        same = int((both[1:] == both[:-1]).sum())
+        if 100 * same >= percent * (len(both) - same):
+            out.append(((a, b), (c, d)))
     return out
 
 
