@@ -70,7 +70,8 @@ def candidate_context(build_log: DataFrame, candidates: DataFrame) -> DataFrame:
     long = own.where(F.length("candidate") >= 3).withColumn("key", F.substring("candidate", 1, 3)).join(named, "key").where(F.contains("name", "candidate")).select("candidate", "name")
     short = own.where(F.length("candidate") < 3).withColumn("key", F.col("candidate"))
     starts = part.select("name").where("name is not null").distinct()
-    pieces = starts.select("name", F.explode(F.array_distinct(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i, n=n: F.substring(F.col("name"), i, F.lit(n))) for n in (1, 2))))))  .alias("key"))
+    parts_of = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(size)))
+    pieces = starts.select("name", F.explode(F.array_distinct(F.concat(parts_of(1), parts_of(2)))).alias("key"))
     held = long.unionByName(short.join(pieces, "key").select("candidate", "name")).distinct()
     rows = part.join(held, "name").unionByName(props.join(own.select("candidate", F.col("candidate").alias("name")), "name"), allowMissingColumns=True)
     rows = rows.select("candidate", "log_id", "kind", "i", "text").distinct()
