@@ -113,7 +113,7 @@ class WindowSearch:
             if not len(ends):
                 continue
             if s.block == 1:
-                hit = np.flatnonzero(_find(s.shift_keys, h) >= 0)
+                hit = np.flatnonzero(_find(s.shift_keys, mix(h)) >= 0)
             else:
                 # every reach-th block; the block ending at word i
                 look = np.arange(s.block - 1, len(h), reach)

@@ -153,14 +153,15 @@ class Pseudonymiser:
         n = (day - FIRST_DAY).days
         if not 0 <= n < DAYS:
             return None
-        # ambiguous orders are read one way; the other way has days of its own, so that undoing it finds the same reading
-        both = lambda d: d.day <= 12
+        # walked on within the dates of the same look: in either order of day and month, and of as many digits where they aren't padded
+        plain = len(m[3] or m[5]) == 1 or len(m[4] or m[7]) == 1
+        first, second = (m[3], m[4]) if m[1] else (m[7], m[5])
         while True:
             n = self.feistel.permute(n, DAYS, "date", self.back)
             new = FIRST_DAY + timedelta(days=n)
-            if day_first or not both(new):
+            p, q = (new.month, new.day) if day_first else (new.day, new.month)
+            if (day_first or new.day > 12) and (not plain or (len(str(p)), len(str(q))) == (len(first), len(second))):
                 break
-        p, q = (new.month, new.day) if day_first else (new.day, new.month)
         wide = lambda v, old: f"{v:02d}" if len(old) == 2 else str(v)
         return f"{new.year:04d}{m[2]}{wide(p, m[3])}{m[2]}{wide(q, m[4])}" if m[1] else f"{wide(q, m[5])}{m[6]}{wide(p, m[7])}{m[6]}{new.year:04d}"
 

@@ -11,7 +11,7 @@ scores; every row is in the index. Queries are met with all rows in blocks of `b
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part. Components are
 floor(256 * x). Vectors of unequal length are compared as if filled up with zeros; an empty vector is a zero vector. A row never finds a row of its own id. Of
-repeated query ids one is asked (the least vector); repeated candidate rows are found each. Ties go to the smaller id.
+repeated query ids one is asked (the least vector); repeated candidate rows are found each. Ties go to the smaller id. Scores beyond 64 bits become the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -107,12 +107,12 @@ class _Best:
         s = np.concatenate([self.score[rows], score], axis=1)
         i = np.concatenate([self.id[rows], np.broadcast_to(ids, score.shape)], axis=1)
         if s.shape[1] > 4 * k:  # only what reaches the k-th best is sorted, ties included
-            cut_at = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+            cut_at = ~np.partition(~s, k - 1, axis=1)[:, k - 1 : k]  # ~ turns the order without overflow
             most = int((s >= cut_at).sum(axis=1).max())
             if most < s.shape[1]:
                 keep = np.argsort(~(s >= cut_at), axis=1, kind="stable")[:, :most]
                 s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-        order = np.lexsort((i, -s.astype(np.float64) if abs(s).max() < 2**53 else ~s), axis=1)[:, :k]
+        order = np.lexsort((i, ~s), axis=1)[:, :k]
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
