@@ -78,13 +78,13 @@ def both_ends(edges: DataFrame) -> DataFrame:
 
 def logged(t: Tables, changes: DataFrame) -> Tables:
     """changes: id, action, type, level, attributes; they are numbered on from the log's end, in order of their columns."""
-    last = t.change_log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
+    last = t.change_log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last")).scalar()
     spread = changes.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(256)))
     counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     start = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # 256 rows at most
     w = Window.partitionBy("_part").orderBy("id", "type", "action")
-    new = spread.join(F.broadcast(start), "_part").withColumn("_at", F.row_number().over(w)).crossJoin(F.broadcast(last))  # one row
-    new = new.select((F.col("last") + F.col("_start") + F.col("_at")).alias("seq"), "id", "action", "type", "level", "attributes")
+    new = spread.join(F.broadcast(start), "_part").withColumn("_at", F.row_number().over(w))
+    new = new.select((last + F.col("_start") + F.col("_at")).alias("seq"), "id", "action", "type", "level", "attributes")
     return replace(t, change_log=t.change_log.unionByName(new))
 
 

@@ -27,7 +27,8 @@ def totals(t: Tables) -> DataFrame:
     e = t.edges.agg(F.count("*").alias("total_edges"))
     p = t.properties.agg(F.count("*").alias("total_properties"))
     s = t.nodes.select(F.explode("metadata").alias("m")).agg(F.count_distinct("m.document_id").alias("documents"))
-    return d.crossJoin(e).crossJoin(p).crossJoin(s)  # of one row each
+    rows = d.unionByName(e, allowMissingColumns=True).unionByName(p, allowMissingColumns=True).unionByName(s, allowMissingColumns=True)
+    return rows.agg(*(F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in rows.columns))
 
 
 def dashboard(t: Tables, model: str = "offline") -> str:
