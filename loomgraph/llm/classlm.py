@@ -118,6 +118,7 @@ class ClassModel:
     step: np.ndarray  # log10 P(class | class)
     known: np.ndarray  # per class: log10((1 - unknown share) / tokens of the class)
     unknown: np.ndarray  # per class: log10 of the unknown share
+    often: float = 2.0  # the count from which on a word is among the frequent ones
 
     def units(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place among the frequent words (or -1), and unit, of each word."""
@@ -159,7 +160,8 @@ def train(texts: DataFrame, *, classes: int = CLASSES, clustered: float = CLUSTE
     ends = texts.count()
     n, v = vocabulary.agg(F.sum("count"), F.count("*")).first()
     n, v = (n or 0) + ends, v + (ends > 0)
-    got = vocabulary.where(F.col("count") >= max(2.0, frequent * n)).collect()  # 1 / frequent words at most
+    often = max(2.0, frequent * n)
+    got = vocabulary.where(F.col("count") >= often).collect()  # 1 / frequent words at most
     table = np.array([(r.word, r["count"]) for r in got], dtype=np.int64).reshape(-1, 2)
     keys = np.ascontiguousarray(table[:, 0]).view(U64)
     order = np.argsort(keys)
@@ -169,7 +171,7 @@ def train(texts: DataFrame, *, classes: int = CLASSES, clustered: float = CLUSTE
     own[top] = np.arange(len(top))
     m = len(top)
     end, begin, units = m + SHAPES, m + SHAPES + 1, m + SHAPES + 2
-    model = ClassModel(keys, counts, own, m, np.zeros(units, np.int64), n, v, ends, np.zeros((0, 0)), np.zeros(0), np.zeros(0))
+    model = ClassModel(keys, counts, own, m, np.zeros(units, np.int64), n, v, ends, np.zeros((0, 0)), np.zeros(0), np.zeros(0), often)
     shared = spark.sparkContext.broadcast(model)
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +248,7 @@ def score(texts: DataFrame, model: ClassModel, vocabulary: DataFrame) -> DataFra
                     yield record(schema, rows[d[first]], null, k[first].view(np.int64), np.ones(len(first), bool), times.astype(np.int32), null, null, null, null)
 
     tokens = texts.mapInArrow(run, "row long, doc_id long, key long, rare boolean, times int, n_tokens long, n_known long, base double, score double")
-    seen = tokens.join(vocabulary.where(F.col("count") < max(2.0, FREQUENT * model.tokens)) if len(model.keys) else vocabulary, (F.col("key") == F.col("word")) & F.col("rare"), "left")
+    seen = tokens.join(vocabulary.where(F.col("count") < model.often), (F.col("key") == F.col("word")) & F.col("rare"), "left")
     shape = F.col("key").bitwiseAND(SHAPES - 1).cast("int")
     at = lambda x: F.element_at(F.array(*(F.lit(float(v)) for v in x[model.cls[model.clustered : model.clustered + SHAPES]])), shape + 1)
     is_known = F.col("count").isNotNull()
