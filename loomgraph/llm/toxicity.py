@@ -6,7 +6,7 @@ often than chance has it (positive pointwise mutual information): shortest stems
 `window` places, stop terms (above `most` of all) left out, and the terms of one word. Counts are over all texts. Seeds are terms
 that labelled toxic texts have significantly more often; the counterpart are terms of the other labelled texts
 by their frequency. The polarity of a term is the log ratio of two random walks with restart, one from
-either. A text's polarities (greatest, second greatest, mean) are calibrated by a logistic fit.
+either. A text's polarities (the three greatest, the mean) are calibrated by a logistic fit.
 
 The labelled rows that seeds and fit read are a bounded sample: `per_class` of each class, first by a hash of
 their id.
@@ -70,10 +70,10 @@ class Lexicon:
     base: float = 0.0
 
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Greatest, second greatest and mean polarity of each text's distinct terms."""
+        """The three greatest polarities of each text's distinct terms (0 where there are fewer), and their mean."""
         w = scan(data, off, ALNUM)
         n = len(off) - 1
-        out = np.zeros((n, 3))
+        out = np.zeros((n, 4))
         if not len(w.starts) or not len(self.terms):
             return out
         key = _distinct_terms(w, self.terms, self.sizes)
@@ -82,10 +82,11 @@ class Lexicon:
         doc, p = doc[order], p[order]
         first = np.searchsorted(doc, np.arange(n))
         count = np.bincount(doc, minlength=n)
-        some, two = count > 0, count > 1
-        out[some, 0] = p[first[some]]
-        out[two, 1] = p[first[two] + 1]
-        out[some, 2] = np.bincount(doc, weights=p, minlength=n)[some] / count[some]
+        for k in range(3):
+            there = count > k
+            out[there, k] = p[first[there] + k]
+        some = count > 0
+        out[some, 3] = np.bincount(doc, weights=p, minlength=n)[some] / count[some]
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -268,9 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             for i, j, data, off in chunks(batch.column(1)):
                 x = lexicon.features(data, off)
-                yield record(pa.schema([("y", pa.int64()), *((f"x{k}", pa.float64()) for k in range(3))]), batch.column(0).cast(pa.int64()).slice(i, j - i), *x.T)
+                yield record(pa.schema([("y", pa.int64()), *((f"x{k}", pa.float64()) for k in range(4))]), batch.column(0).cast(pa.int64()).slice(i, j - i), *x.T)
 
-    got = np.array([tuple(r) for r in sample.mapInArrow(run, "y long, x0 double, x1 double, x2 double").collect()])
+    got = np.array([tuple(r) for r in sample.mapInArrow(run, "y long, x0 double, x1 double, x2 double, x3 double").collect()])
     got = got[np.lexsort(got.T[::-1])]
     y, x = got[:, 0], got[:, 1:]
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
