@@ -26,7 +26,7 @@ from .common import documents, id_and_text, record
 
 SPACE = "▁"
 #: Distinct words, and compatible pairs, whose results a worker keeps; beyond it starts anew.
-KEPT = 500_000
+KEPT = 250_000
 
 
 class _Known(dict):
@@ -101,7 +101,7 @@ class PieceCodec:
         found = self.pairs.get((left, right))
         if found is None:
             found = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) >= 4 * KEPT:
+            if len(self.pairs) >= KEPT:
                 self.pairs.clear()
             self.pairs[left, right] = found
         return found
