@@ -24,6 +24,15 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return small_batches(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
 
 
+#: Stands for a null id where ids are compared: after all others.
+NO_ID = (1 << 63) - 1
+
+
+def with_ids(texts: DataFrame) -> DataFrame:
+    """doc_id, text of id_and_text() with NO_ID for null."""
+    return texts.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+
+
 def remainder(of: str, by: int) -> F.Column:
     """crc32 of an id as text, modulo `by`; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(of).cast("string"), F.lit("")).cast("binary")) % by

@@ -7,7 +7,7 @@ filters, and a verification of each pair of distinct word sets.
 
 Defined results: blank lines stay. Null text stays null and the empty text empty. Rows that share an
 id are one document told twice: each loses the lines that the other loses, and neither counts as the
-other's earlier. A text that loses all its lines becomes empty.
+other's earlier; a null id is after all others. A text that loses all its lines becomes empty.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import cut
 
-from .common import documents, id_and_text
+from .common import NO_ID, documents, id_and_text, with_ids
 from .setjoin import SetJoin, lines
 
 PERCENT = 80
@@ -31,9 +31,9 @@ def _later(members: dict, linked: list) -> list[tuple]:
 
 def removed_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, removed array<int>: the line numbers (from 0) that a document loses, for documents that lose any."""
-    join = SetJoin(id_and_text(docs, id_col, text_col), lines, percent)
+    join = SetJoin(with_ids(id_and_text(docs, id_col, text_col)), lines, percent, small=True)
     classes = cut(join.classes())
-    pairs = cut(join.pairs(join.postings(docs.sparkSession.sparkContext.broadcast(join.rarity()))))
+    pairs = cut(join.pairs(join.rarity()))
     later = join.verified(pairs, classes, _later, pa.schema([("doc", pa.int64()), ("part", pa.int32())]), "doc long, part int").distinct()
     gone = classes.join(later.withColumn("gone", F.lit(True)), ["doc", "part"], "left").where("copies > 1 or gone")
     lost = join.items().where("n > 0").join(gone.select("k", "n", F.col("doc").alias("d"), F.col("part").alias("p"), "gone"), ["k", "n"]).where("gone or doc <> d or part <> p")
@@ -43,7 +43,7 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc
 def dedup_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, the text without its removed lines, and the removed line numbers in `_removed` (null: none)."""
     lost = removed_lines(docs, percent=percent, id_col=id_col, text_col=text_col)
-    both = docs.join(lost.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")), F.col(f"`{id_col}`").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    both = docs.join(lost.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")), F.coalesce(F.col(f"`{id_col}`"), F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
     return both.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept))
 

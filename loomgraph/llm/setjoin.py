@@ -43,7 +43,7 @@ from .textkernel import NOT_SPACE, U64, chunks, mix, scan
 BITS = (23, 20)
 PIECE = 1 << 15
 #: Tokens that a task holds before it sends them.
-FLUSH = 1_000_000
+FLUSH = 700_000
 #: Tokens with an estimated count from here on are taken to be shared without being asked for.
 SURELY_SHARED = 16
 #: Classes of one group that are verified together (two such lots at most are in memory).
@@ -159,9 +159,8 @@ def _whole(b: bytes) -> np.ndarray:
 
 def _met(tok: np.ndarray, k: np.ndarray, n: np.ndarray, pos: np.ndarray, prev: np.ndarray, parity: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of postings of one token that pass the length, positional and (for small sets) suffix filters and haven't met at the token before."""
-    order = np.lexsort((k, n, tok))
-    tok, k, n, pos, prev = tok[order], k[order], n[order].astype(np.int64), pos[order].astype(np.int64), prev[order]
-    parity = parity[order]
+    order = _by_token_size_class(tok, n, k)
+    tok, k, n, pos, prev, parity = tok[order], k[order], n[order].astype(np.int64), pos[order].astype(np.int64), prev[order], parity[order]
     new = np.r_[True, (tok[1:] != tok[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])] if len(tok) else np.zeros(0, bool)
     tok, k, n, pos, prev, parity = tok[new], k[new], n[new], pos[new], prev[new], parity[new]
     alive, step, got, size = np.arange(len(tok) - 1), 0, [], 0
@@ -181,6 +180,19 @@ def _met(tok: np.ndarray, k: np.ndarray, n: np.ndarray, pos: np.ndarray, prev: n
             got, size = [], 0
 
 
+def _by_token_size_class(tok: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """np.lexsort((k, n, tok)) by one sort of a joint key; only ties are sorted by class."""
+    if not len(tok) or n.max() >= 1 << 16:
+        return np.lexsort((k, n, tok))
+    key = tok << U64(16) | n.astype(U64)
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    order[tied] = order[tied][np.lexsort((k[order[tied]], key[tied]))]
+    return order
+
+
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, ...]:
     rows = rows[np.lexsort(rows.T)]
     return tuple(rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]].T)
@@ -231,6 +243,10 @@ class _Held:
         full = np.flatnonzero(self.size)
         if len(full):
             parity[full] = np.bitwise_xor.reduceat(U64(1) << (self.token & U64(63)), (np.cumsum(self.size) - self.size)[full])
+        _, first = np.unique(np.column_stack([self.k, self.size]), axis=0, return_index=True)
+        once = np.zeros(len(self.size), bool)
+        once[first] = True  # of a class's items in this lot, one has postings
+        shared = shared & once[self.item]
         item, token = self.item[shared], self.token[shared]
         count = np.bincount(item, minlength=len(self.size))
         place = np.arange(len(item)) - (np.cumsum(count) - count)[item]
@@ -282,6 +298,11 @@ def _bucket(h: np.ndarray, table: int) -> np.ndarray:
     return (h >> U64(64 - BITS[table])).astype(np.int64)
 
 
+def _add(table: np.ndarray, at: np.ndarray) -> None:
+    """Adds one at each place; a number of the table's own type keeps numpy on its fast path."""
+    np.add.at(table, at, table.dtype.type(1))
+
+
 def sketches(item: np.ndarray, token: np.ndarray, size: np.ndarray) -> bytes:
     """Parity sketches of all items, one after the other: bit t mod B is set when an odd number of tokens have it."""
     bits = sketch_bits(size)
@@ -298,12 +319,17 @@ def sketch_bits(size: np.ndarray) -> np.ndarray:
 
 def distance(a: bytes, b: bytes) -> int:
     """No more than the number of tokens that one of the two sets only has."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    return _distance(int.from_bytes(a, "little"), 8 * len(a), int.from_bytes(b, "little"), 8 * len(b))
+
+
+def _distance(x: int, x_bits: int, y: int, y_bits: int) -> int:
+    while x_bits > y_bits:  # the longer sketch folded is the sketch of the shorter's length
+        x_bits //= 2
+        x = (x >> x_bits) ^ (x & ((1 << x_bits) - 1))
+    while y_bits > x_bits:
+        y_bits //= 2
+        y = (y >> y_bits) ^ (y & ((1 << y_bits) - 1))
+    return (x ^ y).bit_count()
 
 
 _A = pa.schema([("kind", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary()), ("doc", pa.binary()), ("part", pa.binary()), ("k", pa.binary()), ("n", pa.binary()), ("sketch", pa.binary())])
@@ -312,9 +338,9 @@ _A = pa.schema([("kind", pa.int32()), ("piece", pa.int32()), ("counts", pa.binar
 class SetJoin:
     """The join over `texts` (doc_id, text). `kind` makes a chunk's items; classes() and links() are its results."""
 
-    def __init__(self, texts: DataFrame, kind: Callable[[np.ndarray, np.ndarray], Sets], percent: int, ask: bool = True):
-        """ask=False leaves out the pass that finds unshared tokens: where counts of words tell them well enough."""
-        self.texts, self.kind, self.percent, self.ask = texts, kind, percent, ask
+    def __init__(self, texts: DataFrame, kind: Callable[[np.ndarray, np.ndarray], Sets], percent: int, small: bool = False):
+        """small: the tokens are words, whose counts tell rare ones without asking."""
+        self.texts, self.kind, self.percent, self.small = texts, kind, percent, small
         self.spark = texts.sparkSession
         path = scratch(self.spark, "classes")
         self._first_pass().write.parquet(path)
@@ -329,9 +355,9 @@ class SetJoin:
                 ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
                 for i, j, data, off in chunks(batch.column(1)):
                     s = kind(data, off)
-                    np.add.at(counts[0], _bucket(s.left, 0), 1)
+                    _add(counts[0], _bucket(s.left, 0))
                     if s.right is not None:
-                        np.add.at(counts[1], _bucket(s.token, 1), 1)
+                        _add(counts[1], _bucket(s.token, 1))
                     item, token, size, k = ordered(s, None)
                     yield record(_A, [0], [0], [b""], [_pack(ids[i:j][s.row])], [_pack(s.part.astype(np.int32))], [_pack(k)], [_pack(size.astype(np.int32))], [sketches(item, token, size)])
             for which, c in enumerate(counts):
@@ -445,22 +471,18 @@ class SetJoin:
         shared = self.spark.sparkContext.broadcast(rarity)
         buckets = max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # longer runs of a class in each
         hot, below = U64(rarity.hot()), rarity.asked_below()
-        lots, told = self._held(shared), self._ask(shared, buckets, below) if self.ask else None
+        lots, told = self._held(shared), None if self.small else self._ask(shared, buckets, below)
         schema = pa.schema([("bucket", pa.int32()), ("tok", pa.binary()), ("k", pa.binary()), ("n", pa.binary()), ("pos", pa.binary()), ("prev", pa.binary()), ("parity", pa.binary())])
         out = pa.schema([("tok", pa.int64()), ("k1", pa.int64()), ("n1", pa.int32()), ("k2", pa.int64()), ("n2", pa.int32()), ("pos", pa.int32()), ("prev", pa.int64()), ("parity", pa.int64())])
         ddl = "tok long, k1 long, n1 int, k2 long, n2 int, pos int, prev long, parity long"
 
         def sent(tok: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
-            k, n = more[:2]
-            order = np.lexsort((k, tok))
-            t, c, m = tok[order], k[order], n[order]
-            same = np.r_[False, (t[1:] == t[:-1]) & (c[1:] == c[:-1]) & (m[1:] == m[:-1])] if len(tok) else np.zeros(0, bool)
-            at = order[~same]  # a class of this lot once
-            bucket = (mix(tok[at]) % U64(buckets)).astype(np.int32)
-            warm = (tok[at] >> U64(42)) >= hot  # spread by class: their postings meet in a join that splits them further
-            bucket[warm] = buckets + (mix(k[at][warm].view(U64)) % U64(buckets)).astype(np.int32)
-            by = np.lexsort((k[at], bucket))
-            at, bucket = at[by], bucket[by]
+            k = more[0]
+            bucket = (mix(tok) % U64(buckets)).astype(np.int32)
+            warm = (tok >> U64(42)) >= hot  # spread by class: their postings meet in a join that splits them further
+            bucket[warm] = buckets + (mix(k[warm].view(U64)) % U64(buckets)).astype(np.int32)
+            at = np.argsort(bucket.astype(np.uint16) if 2 * buckets < 1 << 16 else bucket, kind="stable")  # classes stay together
+            bucket = bucket[at]
             edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(at) else []
             for a, b in zip(edge, [*edge[1:], len(at)]):
                 x = at[a:b]
@@ -534,7 +556,8 @@ class SetJoin:
                         yield record(one, *zip(*rows))
 
         def judge(at: tuple, members: dict, wanted: list) -> list[tuple]:
-            return [(*at, a, b, c, d) for a, b, c, d in wanted if distance(members[a, b][3], members[c, d][3]) * (100 + percent) <= (b + d) * (100 - percent)]
+            own = {m: (int.from_bytes(v[3], "little"), 8 * len(v[3])) for m, v in members.items()}
+            return [(*at, a, b, c, d) for a, b, c, d in wanted if _distance(*own[a, b], *own[c, d]) * (100 + percent) <= (b + d) * (100 - percent)]
 
         picked = self.first.where("kind = 0").select("k", "n", "sketch").mapInArrow(pick, "k long, n int, sketch binary").groupBy("k", "n").agg(F.min("sketch").alias("payload"))
         none = picked.select("k", "n", F.lit(0).cast("long").alias("doc"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("copies"), "payload")
@@ -594,24 +617,34 @@ class SetJoin:
         """The rows that `judge` makes of each block of pairs; own: k, n, doc, part, copies, payload of the classes."""
         block = ("home", "lo", "hi")
         members = _ends(placed, *block).distinct().join(own, ["k", "n"])
-        none = lambda t: F.lit(None).cast(t)
-        rows = members.select(*block, F.lit(0).alias("what"), "k", "n", none("long").alias("k2"), none("int").alias("n2"), "doc", "part", "copies", "payload").unionByName(
-            placed.select(*block, F.lit(1).alias("what"), F.col("k1").alias("k"), F.col("n1").alias("n"), "k2", "n2", none("long").alias("doc"), none("int").alias("part"), none("long").alias("copies"), none("binary").alias("payload"))
+        no = lambda t: F.lit("" if t == "binary" else 0).cast(t)  # no nulls, so that numbers stay whole in numpy
+        rows = members.select(*block, F.lit(0).alias("what"), "k", "n", no("long").alias("k2"), no("int").alias("n2"), "doc", "part", "copies", "payload").unionByName(
+            placed.select(*block, F.lit(1).alias("what"), F.col("k1").alias("k"), F.col("n1").alias("n"), "k2", "n2", no("long").alias("doc"), no("int").alias("part"), no("long").alias("copies"), no("binary").alias("payload"))
         )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, members, wanted = None, {}, []
             for batch in batches:
                 out = []
-                for home, lo, hi, what, k, n, k2, n2, doc, part, copies, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (home, lo, hi) != at:
+                own = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
+                new = np.zeros(batch.num_rows, bool)
+                new[:1] = True
+                for c in own:
+                    new[1:] |= c[1:] != c[:-1]
+                first = np.flatnonzero(new).tolist()
+                for i, j in zip(first, [*first[1:], batch.num_rows]):  # members of one block, or its pairs
+                    here = tuple(int(c[i]) for c in own[:3])
+                    if here != at:
                         if at is not None:
                             out += judge(at, members, wanted)
-                        at, members, wanted = (home, lo, hi), {}, []
-                    if what:
-                        wanted.append((k, n, k2, n2))
+                        at, members, wanted = here, {}, []
+                    k, n, k2, n2, doc, part, copies, payload = batch.columns[4:]
+                    part_of = lambda c, i=i, j=j: c.slice(i, j - i)
+                    if own[3][i]:
+                        wanted += zip(*(part_of(c).to_numpy().tolist() for c in (k, n, k2, n2)))
                     else:
-                        members[k, n] = (doc, part, copies, payload)
+                        values = zip(*(part_of(c).to_pylist() for c in (doc, part, copies, payload)))
+                        members.update(zip(zip(part_of(k).to_numpy().tolist(), part_of(n).to_numpy().tolist()), values))
                 if out:
                     yield record(schema, *zip(*out))
             if at is not None and (out := judge(at, members, wanted)):
@@ -623,15 +656,25 @@ class SetJoin:
 
 def _linked(members: dict, wanted: list, percent: int) -> list:
     """The wanted pairs that reach the threshold."""
-    keys = {m: i for i, m in enumerate(members)}
-    tokens = [_from_five(m[3]) for m in members.values()]
+    tokens = {m: _from_five(v[3]) for m, v in members.items()}
+    sets: dict = {}
+
+    def as_set(m: tuple) -> set:
+        if m not in sets:
+            sets[m] = set(tokens[m].tolist())
+        return sets[m]
+
     out = []
     for a, b, c, d in wanted:
-        both = np.concatenate((tokens[keys[a, b]], tokens[keys[c, d]]))
-        both.sort()
-        same = int((both[1:] == both[:-1]).sum())
-        if 100 * same >= percent * (len(both) - same):
-            out.append(((a, b), (c, d)))
+        x, y = (a, b), (c, d)
+        if b + d < 400:
+            same = len(as_set(x) & as_set(y))
+        else:
+            both = np.concatenate((tokens[x], tokens[y]))
+            both.sort()
+            same = int((both[1:] == both[:-1]).sum())
+        if 100 * same >= percent * (b + d - same):
+            out.append((x, y))
     return out
 
 

@@ -84,8 +84,12 @@ class Words:
             return np.zeros(0, U64)
         n = len(self.data)
         power, inverse = _power(n)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * power[:n], out=total[1:])
+        total = np.empty(n + 1, U64)
+        total[0] = 0
+        own = total[1:]
+        np.add(self.data, U64(1), out=own, dtype=U64)
+        own *= power[:n]
+        np.cumsum(own, out=own)
         return mix((total[self.ends if ends is None else ends] - total[self.starts]) * inverse[self.starts])
 
 

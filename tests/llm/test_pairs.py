@@ -46,7 +46,10 @@ def test_near_duplicates_repeated_and_empty(spark):
     got = sorted(tuple(r) for r in near_duplicates(table(spark, docs)).collect())
     assert got == [(1, 2, 2, 1), (1, 2, 2, 1), (2, 2, 2, 1), (3, 0, 0, 3), (3, 0, 0, 3)]
     assert near_duplicates(table(spark, docs).limit(0)).count() == 0
-    assert near_duplicates(table(spark, [(None, "x y"), (4, "x y")])).count() == 2
+    odd = [(None, "p q r s t u v w"), (4, "p q r s t u v x"), (5, "p q r s t u v w"), (None, "q")]
+    got = sorted(near_duplicates(table(spark, odd)).collect(), key=str)
+    assert sorted((r.doc_id, r.n_similar, r.component_id) for r in got if r.doc_id) == [(4, 2, 4), (5, 2, 4)]
+    assert sorted((r.n_similar, r.component_id or 0) for r in got if r.doc_id is None) == [(0, 0), (2, 4)]
 
 
 def test_very_long_texts(spark):
@@ -74,6 +77,8 @@ def test_line_dedup_repeated_and_empty(spark):
     docs = [(5, "p q r s t\nnew"), (5, "p q r s t\nnew"), (7, "p q r s t\nnewer")]
     got = sorted((r.doc_id, r.text) for r in dedup_lines(table(spark, docs)).collect())
     assert got == [(5, "p q r s t\nnew"), (5, "p q r s t\nnew"), (7, "newer")]
+    odd = {(r.doc_id, r.text) for r in dedup_lines(table(spark, [(None, "p q r s t\nown"), (7, "p q r s t\nother")])).collect()}
+    assert odd == {(None, "own"), (7, "p q r s t\nother")}
     assert removed_lines(table(spark, docs).limit(0)).count() == 0
     assert dedup_lines(table(spark, docs).limit(0)).count() == 0
 
