@@ -43,7 +43,8 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc
 def dedup_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, the text without its removed lines, and the removed line numbers in `_removed` (null: none)."""
     lost = removed_lines(docs, percent=percent, id_col=id_col, text_col=text_col)
-    both = docs.join(lost.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")), F.coalesce(F.col(f"`{id_col}`"), F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
+    # hashed by the removed lists, so that texts aren't sorted
+    both = docs.join(lost.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")).hint("shuffle_hash"), F.coalesce(F.col(f"`{id_col}`"), F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
     return both.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept))
 

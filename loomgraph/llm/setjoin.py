@@ -134,8 +134,8 @@ def _six(a: np.ndarray) -> np.ndarray:
 
 
 def _five(a: np.ndarray) -> bytes:
-    """Tokens as 5 bytes each."""
-    return np.ascontiguousarray((a >> U64(24)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Tokens of ordered() without levels, as 5 bytes each."""
+    return np.ascontiguousarray((a >> U64(2)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def _from_five(b: bytes) -> np.ndarray:
@@ -363,7 +363,7 @@ class SetJoin:
             for which, c in enumerate(counts):
                 if c.any():
                     for p in range(0, len(c), PIECE):
-                        yield record(_A, [1 + which], [p // PIECE], [_pack(c[p : p + PIECE].astype(np.int64))], [b""], [b""], [b""], [b""], [b""])
+                        yield record(_A, [1 + which], [p // PIECE], [_pack(c[p : p + PIECE])], [b""], [b""], [b""], [b""], [b""])
 
         return self.texts.mapInArrow(run, "kind int, piece int, counts binary, doc binary, part binary, k binary, n binary, sketch binary")
 
@@ -374,8 +374,11 @@ class SetJoin:
             total: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
                 for kind, piece, c in zip(*(batch.column(x).to_pylist() for x in range(3))):
-                    c = _unpack(c, np.int64)
-                    total[kind, piece] = total[kind, piece] + c if (kind, piece) in total else c
+                    c = _unpack(c, np.int32)
+                    if (kind, piece) in total:
+                        total[kind, piece] += c
+                    else:
+                        total[kind, piece] = c.astype(np.int64)
             if total:
                 yield record(pa.schema(list(_A)[:3]), [k for k, _ in total], [p for _, p in total], [_pack(c) for c in total.values()])
 
@@ -575,19 +578,15 @@ class SetJoin:
             bits, seen = bloom.value, set()
             for batch in batches:
                 for _, _, data, off in chunks(batch.column(1)):
-                    s = kind(data, off)
-                    _, _, size, k = ordered(s, None)
-                    new = [i for i in np.flatnonzero((size > 0) & _in_bloom(bits, k)).tolist() if (k[i], size[i]) not in seen]
-                    if not new:
-                        continue
-                    order = np.argsort(s.item, kind="stable")
-                    first = np.r_[0, np.cumsum(np.bincount(s.item, minlength=len(s.row)))]
+                    _, token, size, k = ordered(kind(data, off), None)
                     rows = []
-                    for i in new:
+                    first = np.r_[0, np.cumsum(size)].tolist()
+                    for i in np.flatnonzero((size > 0) & _in_bloom(bits, k)).tolist():
                         if (key := (int(k[i]), int(size[i]))) not in seen:
                             seen.add(key)
-                            rows.append((*key, _five(np.unique(s.token[order[first[i] : first[i + 1]]]))))
-                    yield record(schema, *zip(*rows))
+                            rows.append((*key, _five(token[first[i] : first[i + 1]])))
+                    if rows:
+                        yield record(schema, *zip(*rows))
 
         return self.texts.mapInArrow(run, "k long, n int, tokens binary")
 
