@@ -46,10 +46,10 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Counter:
-    """Sums counts of 64-bit keys in a task and sends them by bucket."""
+    """Sums counts of 64-bit keys in a task and sends them by bucket. Keys that only differ in their low `free` bits share one."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.size = buckets, [], 0
+    def __init__(self, buckets: int, free: int = 0):
+        self.buckets, self.free, self.parts, self.size = buckets, U64(free), [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         if counts is None:
@@ -67,7 +67,7 @@ class Counter:
             return
         keys, counts = summed(*(np.concatenate(x) for x in zip(*self.parts)))
         self.parts, self.size = [], 0
-        bucket = (mix(keys) % U64(self.buckets)).astype(np.int32)
+        bucket = (mix(keys >> self.free) % U64(self.buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         keys, counts, bucket = keys[order], counts[order], bucket[order]
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else []

@@ -196,6 +196,26 @@ def test_class_model(spark):
     assert classlm.score(docs.limit(0), model, vocabulary).count() == 0
 
 
+def test_rare_words_get_classes_of_their_own(spark):
+    # rare nouns and verbs have the same ending, so only their neighbours tell them apart; the frequent ones make the classes
+    rng = random.Random(12)
+    nouns, verbs = ([f"{kind}{i}xx" for i in range(400)] for kind in ("noun", "verb"))
+    pick = lambda rare, often: rng.choice(rare) if rng.random() < 0.5 else rng.choice(often)
+    rows = [(i, " ".join(f"the {pick(nouns, ('house', 'tree'))} will {pick(verbs, ('sing', 'walk'))}" for _ in range(20))) for i in range(80)]
+    model, vocabulary = classlm.train(frame(spark, rows).select("doc_id", "text"), classes=4, clustered=0.01)
+    import pyarrow as pa
+
+    data, off = buffers(pa.array(nouns + verbs))
+    keys = classlm.word_keys(scan(data, off, NOT_SPACE))
+    of = {r.word: r.cls for r in spark.read.parquet(model.classes).collect()}
+    cls = [of.get(int(k)) for k in keys.view("int64")]
+    seen = {int(r.word) for r in vocabulary.collect()}
+    assert {int(k) for k in keys.view("int64")} & seen == set(of)  # every training word below the share, those seen once too
+    kinds = [Counter(c for c in part if c is not None) for part in (cls[:400], cls[400:])]
+    best = [k.most_common(1)[0] for k in kinds]
+    assert best[0][0] != best[1][0] and all(n >= 0.95 * k.total() for (_, n), k in zip(best, kinds))
+
+
 def test_exchange_finds_the_classes():
     rng = np.random.default_rng(3)
     a, b = np.meshgrid(np.arange(20), np.arange(20), indexing="ij")
