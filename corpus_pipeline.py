@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import remainder
+from loomgraph.llm.common import ROW, numbered, remainder
 from loomgraph.llm.decontamination import keep_clean
 from loomgraph.llm.linededup import dedup_lines
-from loomgraph.llm.neardups import near_duplicates
+from loomgraph.llm.neardups import first_rows
 from loomgraph.llm.quality import fit, keep_good
 from loomgraph.llm.sentencepieces import model_path, token_digests
 from loomgraph.session import scratch, table
@@ -31,9 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The row with the smallest id of each group of near duplicates; of rows that share it or have none, one."""
+    rows = numbered(docs)
+    return rows.join(first_rows(rows), ROW, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import table
+from loomgraph.session import scratch, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,19 @@ def with_ids(texts: DataFrame) -> DataFrame:
     return texts.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
 
 
+#: The column that numbered() adds.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a unique number of each row, written once so that later passes find the same."""
+    spark = docs.sparkSession
+    path = scratch(spark, "numbered")
+    with_row = docs.withColumn(ROW, F.monotonically_increasing_id())
+    with_row.write.parquet(path)
+    return spark.read.schema(with_row.schema).parquet(path)
+
+
 def remainder(of: str, by: int) -> F.Column:
     """crc32 of an id as text, modulo `by`; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(of).cast("string"), F.lit("")).cast("binary")) % by

@@ -332,11 +332,11 @@ def _distance(x: int, x_bits: int, y: int, y_bits: int) -> int:
     return (x ^ y).bit_count()
 
 
-_A = pa.schema([("kind", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary()), ("doc", pa.binary()), ("part", pa.binary()), ("k", pa.binary()), ("n", pa.binary()), ("sketch", pa.binary())])
+_A = pa.schema([("kind", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("part", pa.binary()), ("k", pa.binary()), ("n", pa.binary()), ("sketch", pa.binary())])
 
 
 class SetJoin:
-    """The join over `texts` (doc_id, text). `kind` makes a chunk's items; classes() and links() are its results."""
+    """The join over `texts` (doc_id, text, row; doc_id and row tell documents apart). `kind` makes a chunk's items; classes() and links() are its results."""
 
     def __init__(self, texts: DataFrame, kind: Callable[[np.ndarray, np.ndarray], Sets], percent: int, small: bool = False):
         """small: the tokens are words, whose counts tell rare ones without asking."""
@@ -352,20 +352,20 @@ class SetJoin:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = [np.zeros(1 << b, np.int32) for b in BITS]
             for batch in batches:
-                ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                ids, rows = (batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in (0, 2))
                 for i, j, data, off in chunks(batch.column(1)):
                     s = kind(data, off)
                     _add(counts[0], _bucket(s.left, 0))
                     if s.right is not None:
                         _add(counts[1], _bucket(s.token, 1))
                     item, token, size, k = ordered(s, None)
-                    yield record(_A, [0], [0], [b""], [_pack(ids[i:j][s.row])], [_pack(s.part.astype(np.int32))], [_pack(k)], [_pack(size.astype(np.int32))], [sketches(item, token, size)])
+                    yield record(_A, [0], [0], [b""], [_pack(ids[i:j][s.row])], [_pack(rows[i:j][s.row])], [_pack(s.part.astype(np.int32))], [_pack(k)], [_pack(size.astype(np.int32))], [sketches(item, token, size)])
             for which, c in enumerate(counts):
                 if c.any():
                     for p in range(0, len(c), PIECE):
-                        yield record(_A, [1 + which], [p // PIECE], [_pack(c[p : p + PIECE])], [b""], [b""], [b""], [b""], [b""])
+                        yield record(_A, [1 + which], [p // PIECE], [_pack(c[p : p + PIECE])], *([b""] for _ in range(6)))
 
-        return self.texts.mapInArrow(run, "kind int, piece int, counts binary, doc binary, part binary, k binary, n binary, sketch binary")
+        return self.texts.mapInArrow(run, "kind int, piece int, counts binary, doc binary, row binary, part binary, k binary, n binary, sketch binary")
 
     def rarity(self) -> Rarity:
         """The count tables summed: tables of a fixed size come to the driver, whatever the input."""
@@ -394,20 +394,19 @@ class SetJoin:
         return Rarity(words, np.log2(np.maximum(tables[1] - 2 * chance - 3 * np.sqrt(chance), 2.0**-20)).astype(np.float32), n)
 
     def items(self) -> DataFrame:
-        """doc, part, k, n of every item of every row, those with empty sets (n = 0) too."""
+        """doc, row, part, k, n of every item of every row, those with empty sets (n = 0) too."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("doc", pa.int64()), ("part", pa.int32()), ("k", pa.int64()), ("n", pa.int32())])
+            schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("k", pa.int64()), ("n", pa.int32())])
             for batch in batches:
-                for doc, part, k, n in zip(*(batch.column(x).to_pylist() for x in range(4))):
-                    doc = np.frombuffer(zstandard.ZstdDecompressor().decompress(doc))
-                    yield record(schema, doc.view(np.int64), _unpack(part, np.int32), _unpack(k, np.int64), _unpack(n, np.int32))
+                for doc, row, part, k, n in zip(*(batch.column(x).to_pylist() for x in range(5))):
+                    yield record(schema, _unpack(doc, np.int64), _unpack(row, np.int64), _unpack(part, np.int32), _unpack(k, np.int64), _unpack(n, np.int32))
 
-        return self.first.where("kind = 0").select("doc", "part", "k", "n").mapInArrow(run, "doc long, part int, k long, n int")
+        return self.first.where("kind = 0").select("doc", "row", "part", "k", "n").mapInArrow(run, "doc long, row long, part int, k long, n int")
 
     def classes(self) -> DataFrame:
-        """k, n, doc and part of the first item in order, copies: one row for each distinct set but the empty one."""
-        return self.items().where("n > 0").groupBy("k", "n").agg(F.min(F.struct("doc", "part")).alias("least"), F.count("*").alias("copies")).select("k", "n", "least.doc", "least.part", "copies")
+        """k, n, doc, row and part of the first item in order, copies: one row for each distinct set but the empty one."""
+        return self.items().where("n > 0").groupBy("k", "n").agg(F.min(F.struct("doc", "row", "part")).alias("least"), F.count("*").alias("copies")).select("k", "n", "least.doc", "least.row", "least.part", "copies")
 
     def _held(self, shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[_Held]]:
         """Lots of a task's items with all their tokens; the same in each pass over the same partition."""
@@ -559,11 +558,11 @@ class SetJoin:
                         yield record(one, *zip(*rows))
 
         def judge(at: tuple, members: dict, wanted: list) -> list[tuple]:
-            own = {m: (int.from_bytes(v[3], "little"), 8 * len(v[3])) for m, v in members.items()}
+            own = {m: (int.from_bytes(v[4], "little"), 8 * len(v[4])) for m, v in members.items()}
             return [(*at, a, b, c, d) for a, b, c, d in wanted if _distance(*own[a, b], *own[c, d]) * (100 + percent) <= (b + d) * (100 - percent)]
 
         picked = self.first.where("kind = 0").select("k", "n", "sketch").mapInArrow(pick, "k long, n int, sketch binary").groupBy("k", "n").agg(F.min("sketch").alias("payload"))
-        none = picked.select("k", "n", F.lit(0).cast("long").alias("doc"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("copies"), "payload")
+        none = picked.select("k", "n", F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("row"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("copies"), "payload")
         narrow = ("lo", "hi", "n1", "n2")
         schema = pa.schema([(c, pa.int32() if c in narrow else pa.int64()) for c in ("home", "lo", "hi", "k1", "n1", "k2", "n2")])
         return self._meet(placed, none, judge, schema, "home long, lo int, hi int, k1 long, n1 int, k2 long, n2 int")
@@ -591,11 +590,11 @@ class SetJoin:
         return self.texts.mapInArrow(run, "k long, n int, tokens binary")
 
     def verified(self, pairs: DataFrame, classes: DataFrame, found: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
-        """`found` of each block: it gets the members {(k, n): (doc, part, copies, ...)} and the linked pairs of them, and gives rows."""
+        """`found` of each block: it gets the members {(k, n): (doc, row, part, copies, ...)} and the linked pairs of them, and gives rows."""
         percent = self.percent
         near = cut(self.near(cut(self.placed(pairs))))
         sets = self.sets(_ends(near)).groupBy("k", "n").agg(F.min("tokens").alias("payload"))
-        own = classes.join(sets, ["k", "n"]).select("k", "n", "doc", "part", "copies", "payload")
+        own = classes.join(sets, ["k", "n"]).select("k", "n", "doc", "row", "part", "copies", "payload")
         return self._meet(near, own, lambda at, members, wanted: found(members, _linked(members, wanted, percent)), schema, ddl)
 
     def placed(self, pairs: DataFrame) -> DataFrame:
@@ -613,12 +612,12 @@ class SetJoin:
         return placed.select("home", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "k1", "n1", "k2", "n2")
 
     def _meet(self, placed: DataFrame, own: DataFrame, judge: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
-        """The rows that `judge` makes of each block of pairs; own: k, n, doc, part, copies, payload of the classes."""
+        """The rows that `judge` makes of each block of pairs; own: k, n, doc, row, part, copies, payload of the classes."""
         block = ("home", "lo", "hi")
         members = _ends(placed, *block).distinct().join(own, ["k", "n"])
         no = lambda t: F.lit("" if t == "binary" else 0).cast(t)  # no nulls, so that numbers stay whole in numpy
-        rows = members.select(*block, F.lit(0).alias("what"), "k", "n", no("long").alias("k2"), no("int").alias("n2"), "doc", "part", "copies", "payload").unionByName(
-            placed.select(*block, F.lit(1).alias("what"), F.col("k1").alias("k"), F.col("n1").alias("n"), "k2", "n2", no("long").alias("doc"), no("int").alias("part"), no("long").alias("copies"), no("binary").alias("payload"))
+        rows = members.select(*block, F.lit(0).alias("what"), "k", "n", no("long").alias("k2"), no("int").alias("n2"), "doc", "row", "part", "copies", "payload").unionByName(
+            placed.select(*block, F.lit(1).alias("what"), F.col("k1").alias("k"), F.col("n1").alias("n"), "k2", "n2", no("long").alias("doc"), no("long").alias("row"), no("int").alias("part"), no("long").alias("copies"), no("binary").alias("payload"))
         )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -637,12 +636,12 @@ class SetJoin:
                         if at is not None:
                             out += judge(at, members, wanted)
                         at, members, wanted = here, {}, []
-                    k, n, k2, n2, doc, part, copies, payload = batch.columns[4:]
+                    k, n, k2, n2, doc, row, part, copies, payload = batch.columns[4:]
                     part_of = lambda c, i=i, j=j: c.slice(i, j - i)
                     if own[3][i]:
                         wanted += zip(*(part_of(c).to_numpy().tolist() for c in (k, n, k2, n2)))
                     else:
-                        values = zip(*(part_of(c).to_pylist() for c in (doc, part, copies, payload)))
+                        values = zip(*(part_of(c).to_pylist() for c in (doc, row, part, copies, payload)))
                         members.update(zip(zip(part_of(k).to_numpy().tolist(), part_of(n).to_numpy().tolist()), values))
                 if out:
                     yield record(schema, *zip(*out))
@@ -655,7 +654,7 @@ class SetJoin:
 
 def _linked(members: dict, wanted: list, percent: int) -> list:
     """The wanted pairs that reach the threshold."""
-    tokens = {m: _from_five(v[3]) for m, v in members.items()}
+    tokens = {m: _from_five(v[4]) for m, v in members.items()}
     sets: dict = {}
 
     def as_set(m: tuple) -> set:
