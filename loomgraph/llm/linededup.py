@@ -6,8 +6,9 @@ set-similarity join of .setjoin: words ordered by rarity, prefix, length, positi
 filters, and a verification of each pair of distinct word sets.
 
 Defined results: blank lines stay. Null text stays null and the empty text empty. Rows that share an
-id are one document told twice: each loses the lines that the other loses, and neither counts as the
-other's earlier; a null id is after all others. A text that loses all its lines becomes empty.
+id and the text are one document told twice: each loses the lines that the other loses, and neither counts as the
+other's earlier. Rows that share the id only, or have none, are documents of their own, each of which only loses its own lines;
+a null id is after all others, in the order of rows, and texts of one id are in the order of their hash. A text that loses all its lines becomes empty.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import cut
 
-from .common import NO_ID, documents, id_and_text, with_ids
+from .common import NO_ID, ROW, documents, numbered, small_batches, with_ids
 from .setjoin import SetJoin, lines
 
 PERCENT = 80
@@ -26,25 +27,36 @@ PERCENT = 80
 
 def _later(members: dict, linked: list) -> list[tuple]:
     """The first lines of classes that match a class with an earlier first line."""
-    return [(*members[m][:2],) for m in {max(a, b, key=lambda m: members[m][:2]) for a, b in linked}]
+    return [(*members[m][:3],) for m in {max(a, b, key=lambda m: members[m][:3]) for a, b in linked}]
+
+
+def _document(id_col: str, text_col: str) -> F.Column:
+    """Tells documents of one id apart: by their text, and without an id by the row."""
+    return F.when(F.col(f"`{id_col}`").isNull(), F.col(ROW)).otherwise(F.xxhash64(F.col(f"`{text_col}`").cast("string")))
 
 
 def removed_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, removed array<int>: the line numbers (from 0) that a document loses, for documents that lose any."""
-    join = SetJoin(with_ids(id_and_text(docs, id_col, text_col)), lines, percent, small=True)
+    """doc, row, removed array<int>: the line numbers (from 0) that a document loses, for documents that lose any. Rows are numbered() here if they aren't."""
+    docs = docs if ROW in docs.columns else numbered(docs)
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), _document(id_col, text_col).alias("row"))
+    join = SetJoin(with_ids(small_batches(texts)), lines, percent, small=True)
     classes = cut(join.classes())
     pairs = cut(join.pairs(join.rarity()))
-    later = join.verified(pairs, classes, _later, pa.schema([("doc", pa.int64()), ("part", pa.int32())]), "doc long, part int").distinct()
-    gone = classes.join(later.withColumn("gone", F.lit(True)), ["doc", "part"], "left").where("copies > 1 or gone")
-    lost = join.items().where("n > 0").join(gone.select("k", "n", F.col("doc").alias("d"), F.col("part").alias("p"), "gone"), ["k", "n"]).where("gone or doc <> d or part <> p")
-    return lost.groupBy("doc").agg(F.array_sort(F.collect_set("part")).alias("removed"))
+    place = ["doc", "row", "part"]
+    later = join.verified(pairs, classes, _later, pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("part", pa.int32())]), "doc long, row long, part int").distinct()
+    gone = classes.join(later.withColumn("gone", F.lit(True)), place, "left").where("copies > 1 or gone")
+    lost = join.items().where("n > 0").join(gone.select("k", "n", F.col("doc").alias("d"), F.col("row").alias("r"), F.col("part").alias("p"), "gone"), ["k", "n"]).where("gone or doc <> d or row <> r or part <> p")
+    return lost.groupBy("doc", "row").agg(F.array_sort(F.collect_set("part")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, the text without its removed lines, and the removed line numbers in `_removed` (null: none)."""
-    lost = removed_lines(docs, percent=percent, id_col=id_col, text_col=text_col)
+    rows = numbered(docs)
+    lost = removed_lines(rows, percent=percent, id_col=id_col, text_col=text_col)
     # hashed by the removed lists, so that texts aren't sorted
-    both = docs.join(lost.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")).hint("shuffle_hash"), F.coalesce(F.col(f"`{id_col}`"), F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
+    lost = lost.select(F.col("doc").alias("_doc"), F.col("row").alias("_document"), F.col("removed").alias("_removed")).hint("shuffle_hash")
+    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (_document(id_col, text_col) == F.col("_document"))
+    both = rows.join(lost, same, "left").drop("_doc", "_document", ROW)
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
     return both.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept))
 

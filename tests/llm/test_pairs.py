@@ -4,6 +4,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as cp
 from loomgraph.llm import setjoin
 from loomgraph.llm.linededup import dedup_lines, removed_lines
 from loomgraph.llm.neardups import near_duplicates
@@ -52,6 +53,22 @@ def test_near_duplicates_repeated_and_empty(spark):
     assert sorted((r.n_similar, r.component_id or 0) for r in got if r.doc_id is None) == [(0, 0), (2, 4)]
 
 
+def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
+    a, z, y = "a b c d e f g h", "p q r s t u v w", "k l m n o i j x"
+    docs = [(1, a), (None, a + " more"), (None, z), (None, y), (7, z + " more"), (8, "one two three"), (8, y + " more")]
+    got = {(r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in near_duplicates(table(spark, docs)).collect()}
+    assert got == {(1, 7, 1, 1), (None, 8, 1, 1), (None, 7, 1, 7), (7, 8, 1, 7), (8, 2, 0, 8), (None, 7, 1, 8), (8, 8, 1, 8)}
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    a, z = "a b c d e f g h", "p q r s t u v w"
+    docs = [(1, a), (None, a + " more"), (None, z), (None, z + " more"), (None, "alone here"), (None, None), (None, ""), (4, "own text of four"), (4, a)]
+    got = [(r.doc_id, r.text) for r in cp.near_dedup(spark, table(spark, docs), "").collect()]
+    whole = [x for x in got if not (x[1] or "").startswith(z)]
+    assert sorted(whole, key=str) == sorted([(1, a), (None, "alone here"), (None, None), (None, ""), (4, "own text of four")], key=str)
+    assert len(got) - len(whole) == 1
+
+
 def test_very_long_texts(spark):
     rng = random.Random(2)
     long = " ".join(f"t{rng.randrange(10**6)}" for _ in range(400_000))
@@ -83,6 +100,14 @@ def test_line_dedup_repeated_and_empty(spark):
     assert dedup_lines(table(spark, docs).limit(0)).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_an_id_or_have_none(spark):
+    docs = [(1, "p q r s t"), (None, "p q r s t\nfirst own"), (None, "unique clean text"), (None, "same a b c d\nx"), (None, "same a b c d\ny"), (5, "p q r s t\nz"), (5, "keep this line")]
+    got = sorted(((r.doc_id, r.text) for r in dedup_lines(table(spark, docs)).collect()), key=str)
+    left = [x for x in got if x[1] not in ("same a b c d\nx", "x", "same a b c d\ny", "y")]
+    assert left == sorted([(1, "p q r s t"), (None, "first own"), (None, "unique clean text"), (5, "z"), (5, "keep this line")], key=str)
+    assert sorted(len(t) for _, t in got if (None, t) not in left and _ is None) == [1, 14]  # the line stays in one of the two
+
+
 def test_sketch_bound():
     import numpy as np
 
