@@ -33,17 +33,21 @@ def with_ids(texts: DataFrame) -> DataFrame:
     return texts.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
 
 
-#: The column that numbered() adds.
-ROW = "__row"
+def fresh(want: str, *frames: DataFrame) -> str:
+    """A column name, `want` or a longer one, that none of the frames has in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while want.lower() in taken:
+        want += "_"
+    return want
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a unique number of each row, written once so that later passes find the same."""
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a unique number of each row, written once so that later passes find the same; and the number's column."""
     spark = docs.sparkSession
-    path = scratch(spark, "numbered")
-    with_row = docs.withColumn(ROW, F.monotonically_increasing_id())
+    path, row = scratch(spark, "numbered"), fresh("_row", docs)
+    with_row = docs.withColumn(row, F.monotonically_increasing_id())
     with_row.write.parquet(path)
-    return spark.read.schema(with_row.schema).parquet(path)
+    return spark.read.schema(with_row.schema).parquet(path), row
 
 
 def remainder(of: str, by: int) -> F.Column:

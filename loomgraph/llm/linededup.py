@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import cut
 
-from .common import NO_ID, ROW, documents, numbered, small_batches, with_ids
+from .common import NO_ID, documents, fresh, numbered, small_batches, with_ids
 from .setjoin import SetJoin, lines
 
 PERCENT = 80
@@ -30,15 +30,16 @@ def _later(members: dict, linked: list) -> list[tuple]:
     return [(*members[m][:3],) for m in {max(a, b, key=lambda m: members[m][:3]) for a, b in linked}]
 
 
-def _document(id_col: str, text_col: str) -> F.Column:
+def _document(id_col: str, text_col: str, row: str) -> F.Column:
     """Tells documents of one id apart: by their text, and without an id by the row."""
-    return F.when(F.col(f"`{id_col}`").isNull(), F.col(ROW)).otherwise(F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    return F.when(F.col(f"`{id_col}`").isNull(), F.col(row)).otherwise(F.xxhash64(F.col(f"`{text_col}`").cast("string")))
 
 
-def removed_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, row, removed array<int>: the line numbers (from 0) that a document loses, for documents that lose any. Rows are numbered() here if they aren't."""
-    docs = docs if ROW in docs.columns else numbered(docs)
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), _document(id_col, text_col).alias("row"))
+def removed_lines(docs: DataFrame, row: str | None = None, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, row, removed array<int>: the line numbers (from 0) that a document loses, for documents that lose any. `row` is the column that numbered() gave; without it rows are numbered here."""
+    if row is None:
+        docs, row = numbered(docs)
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), _document(id_col, text_col, row).alias("row"))
     join = SetJoin(with_ids(small_batches(texts)), lines, percent, small=True)
     classes = cut(join.classes())
     pairs = cut(join.pairs(join.rarity()))
@@ -49,16 +50,17 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc
     return lost.groupBy("doc", "row").agg(F.array_sort(F.collect_set("part")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, the text without its removed lines, and the removed line numbers in `_removed` (null: none)."""
-    rows = numbered(docs)
-    lost = removed_lines(rows, percent=percent, id_col=id_col, text_col=text_col)
+def dedup_lines(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "_removed") -> DataFrame:
+    """All columns of `docs`, the text without its removed lines, and the removed line numbers in `removed_col` (null: none), which replaces a column of that name."""
+    rows, row = numbered(docs.drop(removed_col))
+    lost = removed_lines(rows, row, percent=percent, id_col=id_col, text_col=text_col)
+    doc, document = fresh("_doc", rows, docs), fresh("_document", rows, docs)
     # hashed by the removed lists, so that texts aren't sorted
-    lost = lost.select(F.col("doc").alias("_doc"), F.col("row").alias("_document"), F.col("removed").alias("_removed")).hint("shuffle_hash")
-    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (_document(id_col, text_col) == F.col("_document"))
-    both = rows.join(lost, same, "left").drop("_doc", "_document", ROW)
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    return both.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept))
+    lost = lost.select(F.col("doc").alias(doc), F.col("row").alias(document), F.col("removed").alias(removed_col)).hint("shuffle_hash")
+    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col(doc)) & (_document(id_col, text_col, row) == F.col(document))
+    both = rows.join(lost, same, "left").drop(doc, document, row)
+    kept = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda line, i: ~F.array_contains(removed_col, i)), "\n")
+    return both.withColumn(text_col, F.when(F.col(removed_col).isNull(), F.col(f"`{text_col}`")).otherwise(kept))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Quality classifier: compression under two zstandard dictionaries.
+"""Quality classifier: compression under zstandard dictionaries.
 
 One dictionary is built from good and one from bad labelled texts. A text that looks like
-the good ones is smaller under the first. The difference of the two compressed sizes,
-normalised by the larger, and the two compressed sizes against the raw size, are calibrated to a
-probability by a logistic fit in which each labelled text is measured under dictionaries that
-haven't seen it.
+the good ones is smaller under the first. Each text is compressed in two views: as it is, and as its shape (every
+letter the same, every capital, every digit), which tells form from words and so holds for words that no labelled text
+has. In each view the difference of the two compressed sizes, normalised by the larger, and the
+two compressed sizes against the raw size, are calibrated to a probability by a logistic fit in which each labelled text is
+measured under dictionaries that haven't seen it, once as it is and once in cipher (letters permuted at random),
+so that unknown words are calibrated too. Measures beyond `FAR` deviations count as that many.
 
 The fit reads a bounded sample of the labelled rows: `per_class` rows of each class (those first
 by a hash of the id), of at most `max_bytes` bytes each. Scoring reads every text as a whole.
@@ -16,6 +18,7 @@ the share of good ones among the labels (0.5 without any). Repeated rows give re
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,16 +32,40 @@ from loomgraph.session import table
 
 from .common import documents, id_and_text, record, remainder
 
-PER_CLASS = 2000
+PER_CLASS = 4000
 MAX_BYTES = 1 << 15
-DICTIONARY_BYTES = 1 << 16
+#: Of the view as it is, and of the shapes.
+DICTIONARY_BYTES = (1 << 17, 1 << 15)
 LEVEL = 3
+FAR = 4.0
+
+
+def _shapes() -> bytes:
+    t = np.arange(256, dtype=np.uint8)
+    t[65:91], t[97:123], t[128:], t[48:58] = 65, 97, 97, 48
+    return t.tobytes()
+
+
+SHAPE = _shapes()
+
+
+def cipher(rng: random.Random) -> bytes:
+    """A translation table that permutes the letters A-Z (capitals alike), and the trailing bytes of all other characters."""
+    letters, rest = list(range(26)), list(range(0x80, 0xC0))
+    rng.shuffle(letters)
+    rng.shuffle(rest)
+    t = bytearray(range(256))
+    for i, j in enumerate(letters):
+        t[97 + i], t[65 + i] = 97 + j, 65 + j
+    t[0x80:0xC0] = bytes(rest)
+    return bytes(t)
 
 
 @dataclass
 class CompressionModel:
-    good: bytes
-    bad: bytes
+    """pairs: for each view, the dictionaries of good and of bad texts."""
+
+    pairs: list[tuple[bytes, bytes]]
     weights: np.ndarray | None
     mean: np.ndarray
     scale: np.ndarray
@@ -52,16 +79,22 @@ class CompressionModel:
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         if self._ready is None:
-            self._ready = [_compressor(d) for d in (self.good, self.bad)]
-        a, b = self._ready
-        sizes = np.array([(len(a.compress(t)), len(b.compress(t)), len(t)) for t in texts], dtype=float).reshape(-1, 3)
-        g, q, n = sizes[:, 0], sizes[:, 1], sizes[:, 2]
-        return np.column_stack([(g - q) / np.maximum(np.maximum(g, q), 1), np.log((g + 8) / (n + 8)), np.log((q + 8) / (n + 8)), np.log(n + 8)])
+            self._ready = [tuple(_compressor(d) for d in p) for p in self.pairs]
+        n = np.array([len(t) for t in texts], dtype=float)
+        columns = []
+        for view, (a, b) in enumerate(self._ready):
+            seen = [t.translate(SHAPE) for t in texts] if view else texts
+            g, q = (np.array([len(c.compress(t)) for t in seen], dtype=float) for c in (a, b))
+            columns += [(g - q) / np.maximum(np.maximum(g, q), 1), np.log((g + 8) / (n + 8)), np.log((q + 8) / (n + 8))]
+        return np.column_stack([*columns, np.log(n + 8)])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.base)
-        return _logistic(_expanded((self.features(texts) - self.mean) / self.scale) @ self.weights)
+        return _logistic(_expanded(self._scaled(self.features(texts))) @ self.weights)
+
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -FAR, FAR)
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -91,36 +124,39 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float,
     return b
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def _dictionary(texts: list[bytes], size: int) -> bytes:
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, texts, k=64, d=8, steps=1).as_bytes()
+        return zstandard.train_dictionary(size, texts, k=64, d=8, steps=1).as_bytes()
     except zstandard.ZstdError:  # too few texts to choose from: all of them are the dictionary
-        return b"\n".join(texts)[-DICTIONARY_BYTES:] or b"\n" * 8
+        return b"\n".join(texts)[-size:] or b"\n" * 8
+
 
+def _pairs(good: list[bytes], bad: list[bytes]) -> list[tuple[bytes, bytes]]:
+    shapes = [[t.translate(SHAPE) for t in texts] for texts in (good, bad)]
+    return [tuple(_dictionary(t, size) for t in texts) for texts, size in zip(((good, bad), shapes), DICTIONARY_BYTES)]
 
-def fit_texts(good: list[bytes], bad: list[bytes], share_good: float, folds: int = 4) -> CompressionModel:
+
+def fit_texts(good: list[bytes], bad: list[bytes], share_good: float, folds: int = 2) -> CompressionModel:
     """share_good is the share of good labels in all. Each fold is measured under dictionaries of the other folds."""
-    none = np.zeros(4)
-    m = CompressionModel(b"", b"", None, none, none + 1, share_good)
+    none = np.zeros(7)
+    m = CompressionModel([], None, none, none + 1, share_good)
     n = min(len(good), len(bad))
     if n < 2 * folds:
         return m
-
-    def pair(skip: int) -> tuple[bytes, bytes]:  # of equally many texts of either class
-        return _dictionary([t for i, t in enumerate(good[:n]) if i % folds != skip]), _dictionary([t for i, t in enumerate(bad[:n]) if i % folds != skip])
-
+    rng = random.Random(1)
     xs, ys = [], []
-    for k in range(folds):
-        fold = CompressionModel(*pair(k), None, none, none + 1, share_good)
+    for k in range(folds):  # dictionaries of equally many texts of either class
+        fold = CompressionModel(_pairs(*([t for i, t in enumerate(texts[:n]) if i % folds != k] for texts in (good, bad))), None, none, none + 1, share_good)
         for y, texts in ((1.0, good), (0.0, bad)):
             own = [t for i, t in enumerate(texts) if i % folds == k]
-            xs.append(fold.features(own))
-            ys.append(np.full(len(own), y))
+            x = fold.features(own + [t.translate(cipher(rng)) for t in own])
+            xs.append(x)
+            ys.append(np.full(len(x), y))
     x, y = np.vstack(xs), np.concatenate(ys)
-    m.good, m.bad = pair(-1)
+    m.pairs = _pairs(good[:n], bad[:n])
     w = np.where(y == 1, share_good / y.mean(), (1 - share_good) / (1 - y.mean()))
     m.mean, m.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    m.weights = fit_logistic(_expanded((x - m.mean) / m.scale), y, w, ridge=0.3)
+    m.weights = fit_logistic(_expanded(m._scaled(x)), y, w, ridge=0.3)
     return m
 
 

@@ -153,6 +153,27 @@ def test_quality_and_toxicity_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in q.items() if r.predicted}
 
 
+def test_quality_holds_for_words_that_no_label_has(small):
+    import os
+
+    import pyarrow.dataset as ds
+
+    where = small.replace("sf0.001", "sf0.1")
+    if not os.path.exists(where):
+        pytest.skip("the driver's tables aren't here")
+    t, y = (ds.dataset(f"{where}/{x}.parquet").to_table() for x in ("documents", "labels"))
+    label = dict(zip(y["doc_id"].to_pylist(), y["quality"].to_pylist()))
+    rows = [(i, (x or "").encode(), label[i]) for i, x in zip(t["doc_id"].to_pylist(), t["text"].to_pylist()) if label.get(i) is not None]
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    model = quality.fit_texts(*([x for _, x, q in learn if q == k][:2000] for k in (1, 0)), sum(r[2] for r in learn) / len(learn))
+    rng = random.Random(4)
+    for table in (None, quality.cipher(rng)):  # as they are, and with every word replaced by an unknown one
+        held = [(x.translate(table) if table else x, q) for i, x, q in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+        p = model.score([x for x, _ in held]) >= 0.7
+        truth = np.array([q for _, q in held]) == 1
+        assert p[truth].mean() > 0.97 and p[~truth].mean() < 0.05
+
+
 def test_without_labels_or_rows(spark):
     docs = frame(spark, [(1, "a"), (1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
