@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session's spark.checkpoint.dir names it.
 
-    Only where the session names none (tests, a laptop) a local folder is made and
-    entered in the session, so that later calls find the same one.
-    """
+    Only where the session names none and runs in one process (tests, a laptop) a local folder
+    is made and entered in the session, so that later calls find the same one. A cluster must name one.
+        """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), f"loomgraph-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -38,3 +40,9 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder for a table that is written and reread."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that was written below the shared folder and is needed no more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
