@@ -10,7 +10,7 @@ digits stay valid), payment card numbers (13 to 19 digits; Luhn-valid ones stay
 telephone numbers, IPv4 addresses, calendar dates (ISO, dotted or slashed: permuted over the days 1900 to 2099), hexadecimal secrets in quotes and access key ids.
 
 Defined results: null stays null and empty stays empty. A text without a value is returned as it is. Overlapping
-candidates: the leftmost, then the kind listed first. Repeated rows are treated alike.
+candidates: the leftmost, then the kind listed first; a candidate that isn't valid is tried up to the ends of its groups, then the search goes on from its second group. Repeated rows are treated alike.
 """
 
 from __future__ import annotations
@@ -82,11 +82,11 @@ def _only_digits(s: str) -> str:
 
 _DATE = re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4})", re.ASCII)
 _FIND = re.compile(
-    r"(?P<email>[A-Za-z0-9À-ɏ._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![A-Za-z0-9À-ɏ._%+-])[A-Za-z0-9À-ɏ._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<secret>\"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})\")"
     r"|(?P<key>\bAKIA[0-9A-Z]{16}\b)"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<date>(?<![\w.])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?!\w))"
+    r"|(?P<date>(?<![\w.])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?:(?!\w)|(?=T[0-9]{2}:)))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![\w.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?!\w))"
@@ -94,6 +94,11 @@ _FIND = re.compile(
 )
 #: A text without any of these has no value.
 _HINT = re.compile(r"[0-9@]")
+#: Lengths of account numbers by country; other countries have any.
+_IBAN = dict(zip("AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LT LU LV MT NL NO PL PT RO SE SI SK".split(), (20, 16, 22, 21, 28, 24, 22, 18, 20, 24, 18, 27, 22, 27, 21, 28, 22, 27, 20, 20, 21, 31, 18, 15, 28, 25, 24, 24, 19, 24)))
+#: Where a run of digits and blanks may end early, these lengths are tried first.
+_CARD = (16, 15, 14, 13, 19, 18, 17)
+_TOKEN = re.compile(r"\w*|.", re.DOTALL)
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -129,15 +134,23 @@ class Pseudonymiser:
     def key(self, s: str) -> str:
         return s[:4] + self._letters(s[4:], "key")
 
-    def iban(self, s: str) -> str | None:
-        flat = s.replace(" ", "")
+    def iban(self, s: str) -> tuple[str, int] | None:
+        """The longest valid number that ends where a group does, replaced, and the length of what was read."""
+        flat = lambda t: t.replace(" ", "")
         check = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
-        if not 15 <= len(flat) <= 34 or check(flat) != 1:
+        valid = lambda t: len(t) == _IBAN.get(t[:2], len(t)) and 15 <= len(t) <= 34 and check(t) == 1
+        ends = [i for i in range(len(s), 0, -1) if i == len(s) or s[i] == " "]
+        pick = lambda t: next((i for i in ends if valid(flat(t[:i]))), None)
+        if (end := pick(s)) is None:
             return None
-        body = self._letters(flat[4:], f"iban|{flat[:2]}")
-        new = flat[:2] + f"{98 - check(flat[:2] + '00' + body):02d}" + body
-        it = iter(new)
-        return "".join(c if c == " " else next(it) for c in s)
+        own = flat(s[:end])
+        while True:  # walked on until the same part is found in the result
+            body = self._letters(own[4:], f"iban|{own[:2]}")
+            own = own[:2] + f"{98 - check(own[:2] + '00' + body):02d}" + body
+            it = iter(own)
+            new = "".join(c if c == " " else next(it) for c in s[:end])
+            if pick(new + s[end:]) == end:  # what follows is read on where no other digits there could change what is found
+                return new + (rest := "" if s[:2] in _IBAN else s[end:]), end + len(rest)
 
     def date(self, s: str) -> str | None:
         m = _DATE.fullmatch(s)
@@ -188,31 +201,59 @@ class Pseudonymiser:
         at = head.end() if head else 0
         return s[:at] + _refill(s[at:], self.feistel.digits(_only_digits(s[at:]), f"phone|{s[:at]}", self.back))
 
-    def card(self, s: str) -> str | None:
+    def card(self, s: str) -> tuple[str, int] | None:
+        """A valid number that ends where a group does, else one of 16 digits, replaced, and the length of what was read."""
+        ends = {len(_only_digits(s[:i])): i for i in range(1, len(s) + 1) if i == len(s) or not s[i].isdigit() and s[i - 1].isdigit()}
+        valid = lambda t: luhn_digit(t[:-1]) == t[-1]
+        tried = [n for n in _CARD if n in ends]
+        pick = lambda t: next(((n, True) for n in tried if valid(t[:n])), (16, False) if 16 in ends else None)
         digits = _only_digits(s)
-        if luhn_digit(digits[:-1]) == digits[-1]:
-            body = self.feistel.digits(digits[:-1], "card", self.back)
-            return _refill(s, body + luhn_digit(body))
-        if len(digits) != 16:
+        if (found := pick(digits)) is None:
             return None
-        # a number that fails the check keeps failing it in the same way
-        body = self.feistel.digits(digits[:-1], "card", self.back)
-        return _refill(s, body + str((int(luhn_digit(body)) + int(digits[-1]) - int(luhn_digit(digits[:-1]))) % 10))
+        n, head = found[0], digits[: found[0]]
+        off = int(head[-1]) - int(luhn_digit(head[:-1]))  # a number that fails the check keeps failing it in the same way
+        while True:  # walked on until the same part is found in the result
+            body = self.feistel.digits(head[:-1], "card", self.back)
+            head = body + str((int(luhn_digit(body)) + off) % 10)
+            if pick(head + digits[n:]) == found:
+                rest = "" if found == (tried[0], True) else s[ends[n] :]  # read on where no other digits there could change what is found
+                return _refill(s[: ends[n]], head) + rest, ends[n] + len(rest)
+
+    def _replaced(self, kind: str, s: str) -> tuple[str, str, int] | None:
+        """Kind, replacement and length of the valid value at the start of a candidate."""
+        new = getattr(self, kind)(s)
+        if new is None and kind in ("iban", "date") and len(_only_digits(s)) == 16:
+            kind, new = "card", self.card(s)
+        return None if new is None else (kind, *new) if isinstance(new, tuple) else (kind, new, len(s))
+
+    def _next(self, text: str, start: int) -> tuple[int, int, str, str, str, int] | None:
+        """The first value from start on: its place, length, kind and replacement, the whole candidate, and the first place that a candidate which isn't valid reaches it from (its own, if none does)."""
+        reach: list[tuple[int, int]] = []
+        while m := _FIND.search(text, start):
+            if found := self._replaced(m.lastgroup, m[0]):
+                kind, new, size = found
+                return m.start(), size, kind, new, m[0], min([m.start(), *(a for a, z in reach if z > m.start())])
+            # what isn't valid may hide something that is: on from its second token
+            reach = [*(x for x in reach if x[1] > m.start()), (m.start(), m.end())]
+            start = max(_TOKEN.match(text, m.start()).end(), m.start() + 1)
+        return None
 
     def text(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with its values replaced, and how many of each kind."""
         if not _HINT.search(text):
             return text, {}
-        out, at, found = [], 0, {}
-        for m in _FIND.finditer(text):
-            kind = m.lastgroup
-            new = getattr(self, kind)(m[0])
-            if new is None and kind in ("iban", "date") and len(_only_digits(m[0])) == 16:
-                kind, new = "card", self.card(m[0])
-            if new is not None:
-                out += [text[at : m.start()], new]
-                at = m.end()
-                found[kind] = found.get(kind, 0) + 1
+        out, at, found, start = [], 0, {}, 0
+        while value := self._next(text, start):
+            place, size, kind, new, whole, since = value
+            while since < place:  # walked on until the candidates before it stay invalid with it
+                low, near = max(0, since - 1), text[place + size : place + size + 80]
+                again = self._next(text[low:place] + new + near, since - low)
+                if again and again[:3] == (place - low, size, kind):
+                    break
+                _, new, size = self._replaced(kind, new + whole[size:])
+            out += [text[at:place], new]
+            at = start = place + size
+            found[kind] = found.get(kind, 0) + 1
         return "".join([*out, text[at:]]) if out else text, found
 
 
