@@ -71,5 +71,5 @@ def contaminated(docs, items, width=13):
                 if own:
                     found |= own
                     hit[k : k + m] = [1] * m
-        out.append((i, len(w), sum(hit), sorted(found)))
+        out.append((i, len(w), sum(hit), sorted(found, key=lambda x: (x is None, x))))
     return out
