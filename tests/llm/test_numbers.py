@@ -96,14 +96,15 @@ def slow_topk(rows, k=5):
     return out
 
 
-@pytest.mark.parametrize("block,pivots", [(1 << 14, 64), (2, 3)])
-def test_topk(spark, block, pivots):
+@pytest.mark.parametrize("block,pivots,sample", [(1 << 10, 64, 4096), (2, 3, 8)])
+def test_topk(spark, monkeypatch, block, pivots, sample):
+    monkeypatch.setattr(topk, "GROWTH", 3)
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(260)]
     rows += [(300, [1.0, 2.0]), (350, []), (301, rows[3][1]), (302, rows[3][1]), (302, rows[3][1]), (400, [0.0] * 6)]
     bad = [(401, None), (450, [1.0, None, 2.0]), (402, [float("nan")]), (500, [float("inf")]), (None, [1.0])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").select("*", *(F.lit(1).alias(c) for c in ("v", "pivot", "distance", "score", "rank"))).repartition(3)
-    got = sorted(tuple(r) for r in topk.top_k(df, lambda i: i % 50 == 0, block=block, pivots=pivots).collect())
+    got = sorted(tuple(r) for r in topk.top_k(df, lambda i: i % 50 == 0, block=block, pivots=pivots, sample=sample).collect())
     whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
     assert got == sorted(slow_topk(whole))
     assert topk.top_k(df.limit(0), lambda i: i % 50 == 0).count() == 0
@@ -116,3 +117,18 @@ def test_topk_large_numbers(spark):
     got = [tuple(r) for r in topk.top_k(df, lambda i: i % 50 == 0, k=3).orderBy("rank").collect()]
     whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
     assert got == slow_topk(whole, 3)
+
+
+def test_bounds_rule_out_other_clusters():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (16, 24))
+    m = np.floor(256 * (centres[rng.integers(0, 16, 8000)] + rng.normal(0, 0.05, (8000, 24))))
+    space = topk.Space(topk.pivots_of(m[:1000], 16), float((m**2).sum(axis=1).max()))
+    d = space.distances(m)
+    p = d.argmin(axis=1)
+    order = np.lexsort((d.min(axis=1), p))
+    work, q = topk.Search(space, 24, 5), m[::50]
+    got = list(work.lot(np.arange(8000)[order], m[order], p[order], d.min(axis=1)[order], iter([(np.arange(0, 8000, 50), q, np.full(len(q), np.iinfo(np.int64).min))])))
+    assert work.pairs == 160 * 8000 and work.looked < 0.5 * work.pairs
+    best = np.sort(np.where(np.arange(8000)[None, :] == np.arange(0, 8000, 50)[:, None], -(2**62), (q @ m.T).astype(np.int64)), axis=1)[:, -5:]
+    assert np.array_equal(np.sort(np.concatenate([s for *_, s in got]).reshape(-1, 5), axis=1), best)
