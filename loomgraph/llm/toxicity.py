@@ -1,12 +1,15 @@
 """Toxicity by lexicon induction: random walks from labelled seed terms over a PPMI graph of terms.
 
-Terms are lower-cased words cut to their first 4, 6 and 8 bytes, so that a word is also known by its stems. Terms with at
-least `least` of all words (so 3 / least of them at most) are the graph's nodes. Two nodes are linked where they occur together more
-often than chance has it (positive pointwise mutual information): shortest stems that follow one another within
-`window` places, stop terms (above `most` of all) left out, and the terms of one word. Counts are over all texts. Seeds are terms
+Terms are lower-cased words (by a 64-bit hash where they are longer than 6 bytes) and, so that a word is also known by its stems, their first
+4 and 6 bytes, up to the end of a character. Where a script has no spaces, a run of characters of 3 bytes or more also gives each two
+neighbours. The graph's nodes are all terms that two or more labelled texts have, and those with at least
+`least` of all terms (so 1 / least of them at most). Two nodes are linked where they occur together more
+often than chance has it (positive pointwise mutual information): words, and shortest stems, that follow one another within
+`window` places, stop terms (above `most` of all) left out, and the terms of one word. Counts are over all texts; a pair counts from `support`
+occurrences on, as the information of one or two is mostly chance. Seeds are terms
 that labelled toxic texts have significantly more often; the counterpart are terms of the other labelled texts
 by their frequency. The polarity of a term is the log ratio of two random walks with restart, one from
-either. A text's polarities (the three greatest, the mean) are calibrated by a logistic fit.
+either, each raised by the share of `SMOOTH` occurrences. A word's polarity is the mean of its terms', and a text's polarities (the three greatest of its words, the mean) are calibrated by a logistic fit.
 
 The labelled rows that seeds and fit read are a bounded sample: `per_class` of each class, first by a hash of
 their id.
@@ -31,9 +34,10 @@ from loomgraph.session import cut, table
 from .common import documents, id_and_text, record, remainder
 from .packing import COUNTED_DDL, Counter, pack, total, unpack
 from .quality import _logistic, fit_logistic
-from .textkernel import ALNUM, U64, Words, chunks, scan
+from .textkernel import ALNUM, U64, Words, chunks, mix, scan
 
-STEMS = (4, 6, 8)
+#: Bytes of stems; the longest is that of words which stand for themselves.
+STEMS = (4, 6)
 LEAST = 1e-6
 MOST = 5e-3
 WINDOW = 2
@@ -41,12 +45,13 @@ RESTART = 0.3
 ROUNDS = 8
 PER_CLASS = 8000
 EDGE_PARTS = 32
-#: An edge is seen this often at least.
 SUPPORT = 3
+SMOOTH = 1.0
 
 
 def stems(w: Words, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """For each size (at most 8, ascending), the first bytes of each word as a number; words have no byte 0, so it is unique."""
+    """For each size (at most 7, ascending), the first bytes of each word as a number, up to the end of a character; words have no byte 0, so it is unique.
+    Last, the words themselves: the same number, or beyond the longest stem a hash with the first bit set."""
     out, cur = [], np.zeros(len(w.starts), U64)
     data = np.r_[w.data, np.zeros(8, np.uint8)]
     for k in range(sizes[-1]):
@@ -54,7 +59,34 @@ def stems(w: Words, sizes: tuple[int, ...]) -> list[np.ndarray]:
         cur = np.where(at < w.ends, (cur << U64(8)) | data[np.minimum(at, len(data) - 1)].astype(U64), cur)
         if k + 1 in sizes:
             out.append(cur)
-    return out
+    longer = w.ends - w.starts > sizes[-1]
+    for i, size in enumerate(sizes):  # the bytes of a character that was cut are left out
+        cut_at = w.starts + size
+        inside = (cut_at < w.ends) & ((data[np.minimum(cut_at, len(data) - 1)] & 0xC0) == 0x80)
+        own = out[i].copy()
+        for _ in range(3):
+            if not inside.any():
+                break
+            last = (own[inside] & U64(0xC0)) == U64(0x80)  # a trailing byte; the first of the character goes too
+            own[inside] >>= U64(8)
+            inside[np.flatnonzero(inside)[~last]] = False
+        out[i] = own
+    return [*out, np.where(longer, w.hashes() | U64(1 << 63), out[-1])]
+
+
+def neighbours(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Text, and number, of each two neighbouring characters of 3 bytes or more (their first 3 bytes) within a word."""
+    lead = np.flatnonzero(w.data >= 0xE0)
+    if not len(lead):
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    size = np.where(w.data[lead] >= 0xF0, 4, 3)
+    next_to = np.flatnonzero(lead[1:] == (lead + size)[:-1])
+    a, b = lead[next_to], lead[next_to + 1]
+    data, x = np.r_[w.data, np.zeros(4, np.uint8)], np.zeros(len(a), U64)
+    for at in (a, a + 1, a + 2, b, b + 1, b + 2):
+        x = (x << U64(8)) | data[at].astype(U64)
+    word = np.searchsorted(w.starts, a, side="right") - 1
+    return np.searchsorted(w.first, word, side="right") - 1, x | U64(1 << 62)
 
 
 @dataclass
@@ -70,14 +102,25 @@ class Lexicon:
     base: float = 0.0
 
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The three greatest polarities of each text's distinct terms (0 where there are fewer), and their mean."""
+        """The three greatest polarities of each text's distinct words (0 where there are fewer), and their mean. A word has the mean of its terms."""
         w = scan(data, off, ALNUM)
         n = len(off) - 1
         out = np.zeros((n, 4))
         if not len(w.starts) or not len(self.terms):
             return out
-        key = _distinct_terms(w, self.terms, self.sizes)
-        doc, p = key >> 32, self.polarity[key & ((1 << 32) - 1)]
+        own, total, count, before = stems(w, self.sizes), np.zeros(len(w.starts)), np.zeros(len(w.starts)), None
+        for s in own:
+            at = _place(self.terms, s)
+            new = at >= 0 if before is None else (at >= 0) & (at != before)
+            total[new] += self.polarity[at[new]]
+            count += new
+            before = at
+        doc, pairs = neighbours(w)
+        at = _place(self.terms, pairs)
+        there = count > 0
+        doc = np.r_[w.text_of_word()[there], doc[at >= 0]]
+        _, first = np.unique(mix(np.r_[own[-1][there], pairs[at >= 0]]) + doc.astype(U64) * U64(0x9E3779B97F4A7C15), return_index=True)
+        doc, p = doc[first], np.r_[total[there] / count[there], self.polarity[at[at >= 0]]][first]
         order = np.lexsort((-p, doc))
         doc, p = doc[order], p[order]
         first = np.searchsorted(doc, np.arange(n))
@@ -107,7 +150,9 @@ def _distinct_terms(w: Words, terms: np.ndarray, sizes: tuple[int, ...]) -> np.n
     for s in stems(w, sizes):
         at = _place(terms, s)
         keys.append(np.unique((doc[at >= 0] << 32) | at[at >= 0]))
-    return np.unique(np.concatenate(keys))
+    doc, pairs = neighbours(w)
+    at = _place(terms, pairs)
+    return np.unique(np.concatenate([*keys, (doc[at >= 0] << 32) | at[at >= 0]]))
 
 
 def term_counts(texts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
@@ -119,9 +164,11 @@ def term_counts(texts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
         c = Counter(buckets)
         for batch in batches:
             for _, _, data, off in chunks(batch.column(1)):
-                own = stems(scan(data, off, ALNUM), sizes)
+                w = scan(data, off, ALNUM)
+                own = stems(w, sizes)
                 for i, s in enumerate(own):  # a word no longer than the stem before is counted there
                     yield from c.add(s if not i else s[s != own[i - 1]])
+                yield from c.add(neighbours(w)[1])
         yield from c.flush()
 
     def out(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -130,15 +177,25 @@ def term_counts(texts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     return total(texts.mapInArrow(run, COUNTED_DDL), out, "term long, count long", buckets)
 
 
-def nodes(texts: DataFrame, sizes: tuple[int, ...], least: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Terms with a share of at least `least`, sorted; their counts; and the count of all terms."""
+def nodes(texts: DataFrame, sample: DataFrame, sizes: tuple[int, ...], least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Terms with a share of at least `least` and those that two texts of the sample have, sorted; their counts; and the count of all terms."""
     counts = cut(term_counts(texts, sizes))
     n = counts.agg(F.sum("count")).first()[0] or 0
-    rows = counts.where(F.col("count") >= max(2.0, least * n)).collect()  # 1 / least rows at most
-    t = np.array([(r.term, r["count"]) for r in rows], dtype=np.int64).reshape(-1, 2)
-    term = np.ascontiguousarray(t[:, 0]).view(U64)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in chunks(batch.column(1)):
+                w = scan(data, off, ALNUM)
+                doc, more = neighbours(w)
+                keys = np.unique(np.column_stack([np.r_[np.tile(w.text_of_word().astype(U64), len(sizes) + 1), doc.astype(U64)], np.concatenate([*stems(w, sizes), more])]), axis=0)
+                yield record(pa.schema([("term", pa.int64())]), np.ascontiguousarray(keys[:, 1]).view(np.int64))
+
+    in_sample = sample.mapInArrow(own, "term long").groupBy("term").count().where("count >= 2").select("term")
+    frequent = F.col("count") >= max(2.0, least * n)  # 1 / least rows at most
+    rows = counts.where(frequent).unionByName(counts.where(~frequent).join(in_sample, "term", "left_semi")).toArrow()
+    term, count = rows.column(0).to_numpy().view(U64), rows.column(1).to_numpy()
     order = np.argsort(term)
-    return term[order], t[order, 1], int(n)
+    return term[order], count[order], int(n)
 
 
 #: Marks pairs of terms of one word.
@@ -149,7 +206,7 @@ def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(x, y).astype(U64) << U64(32) | np.maximum(x, y).astype(U64)
 
 
-def graph(texts: DataFrame, terms: np.ndarray, counts: np.ndarray, n: int, sizes: tuple[int, ...], window: int, most: float) -> DataFrame:
+def graph(texts: DataFrame, terms: np.ndarray, counts: np.ndarray, n: int, sizes: tuple[int, ...], window: int, most: float, support: int = SUPPORT) -> DataFrame:
     """a, b (places among the nodes), ppmi: each linked pair once."""
     spark = texts.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -170,18 +227,21 @@ def graph(texts: DataFrame, terms: np.ndarray, counts: np.ndarray, n: int, sizes
                 for x, y in zip(at, at[1:]):
                     ok = (x >= 0) & (y >= 0) & (x != y)
                     yield from c.add(_pair(x[ok], y[ok]) | OF_WORD)
-                at = at[0]
-                keep = (at >= 0) & content[at]
-                at, doc = at[keep], doc[keep]
-                for k in range(1, window + 1):
-                    x, y = at[:-k], at[k:]
-                    ok = (doc[:-k] == doc[k:]) & (x != y)
-                    yield from c.add(_pair(x[ok], y[ok]))
+                for own in (at[0], at[-1]):
+                    keep = (own >= 0) & content[own]
+                    whole, place, of = own is at[-1], own[keep], doc[keep]
+                    short = at[0][keep]
+                    for k in range(1, window + 1):
+                        x, y = place[:-k], place[k:]
+                        ok = (of[:-k] == of[k:]) & (x != y)
+                        if whole:  # words that are their own shortest stems have met
+                            ok &= (x != short[:-k]) | (y != short[k:])
+                        yield from c.add(_pair(x[ok], y[ok]))
         yield from c.flush()
 
     def out(keys: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, counts, _ = shared.value
-        keep = pairs >= SUPPORT
+        keep = pairs >= support
         keys, pairs = keys[keep], pairs[keep]
         word = (keys & OF_WORD) != 0
         keys = keys & ~OF_WORD
@@ -242,11 +302,11 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).join(chosen, "key").select("y", "text"), 0.0 if share is None else float(share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sizes: tuple[int, ...] = STEMS, least: float = LEAST, most: float = MOST, window: int = WINDOW, per_class: int = PER_CLASS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sizes: tuple[int, ...] = STEMS, least: float = LEAST, most: float = MOST, window: int = WINDOW, support: int = SUPPORT, per_class: int = PER_CLASS) -> Lexicon:
     texts = id_and_text(docs, id_col, text_col)
     sample, share = labelled(docs, labels, id_col, text_col, label_col, per_class)
     sample = cut(id_and_text(sample, "y", "text").distinct())  # a text that was copied counts once
-    terms, counts, n = nodes(texts, sizes, least)
+    terms, counts, n = nodes(texts, sample, sizes, least)
     seen = _document_counts(sample, terms, sizes)
     toxic, other = (sample.where(F.col("doc_id") == y).count() for y in (1, 0))
     none = Lexicon(terms, np.zeros(len(terms)), sizes, base=share)
@@ -261,8 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rest = np.where(seeds > 0, 0.0, seen[0])
     if not seeds.sum() or not rest.sum():
         return none
-    p = walk(graph(texts, terms, counts, n, sizes, window, most), np.column_stack([seeds / seeds.sum(), rest / rest.sum()]))
-    least_share = 0.1 / n
+    p = walk(graph(texts, terms, counts, n, sizes, window, most, support), np.column_stack([seeds / seeds.sum(), rest / rest.sum()]))
+    least_share = SMOOTH / n
     lexicon = Lexicon(terms, np.log((p[:, 0] + least_share) / (p[:, 1] + least_share)), sizes, base=share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
