@@ -5,6 +5,7 @@ class from the start (key k of 64 bits together with the set size n), so copies
 
 1. A pass over the texts counts words and tokens in hash buckets (fixed size, summed over all
    texts) and writes each item's class. The counts estimate how rare a token is.
+   The key is of the tokens' whole hashes.
 2. A second pass asks of each token that may be so whether one class only has it: each task sends its distinct
    tokens by bucket (sorted, so that they pack into few bytes) and gets a bit for each back, in a file of its own.
    A task that doesn't find its answers takes no token for unshared, which is right but slower.
@@ -33,7 +34,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import cut, scratch
+from loomgraph.session import cut, discard, scratch
 
 from .common import record, small_batches
 from .packing import pack_sorted, unpack_sorted
@@ -48,13 +49,15 @@ FLUSH = 700_000
 SURELY_SHARED = 16
 #: Classes of one group that are verified together (two such lots at most are in memory).
 LOT = 128
-#: Bits of the Bloom filter that keeps sets that no pair needs from being sent; a full filter only sends more.
-BLOOM_BITS = 1 << 26
+#: Packed postings that a bucket should have, and what a word of the input gives rise to at most, as measured.
+BUCKET_BYTES, POSTING_BYTES = 32 << 20, 5
+#: Bits of the largest Bloom filter that keeps sets that no pair needs from being sent; a full filter only sends more.
+BLOOM_BITS = 1 << 28
 
 
 @dataclass
 class Sets:
-    """Tokens of a chunk's items: item of each token, its hash, and words (hashes, one or two per token) for its rarity."""
+    """Tokens of a chunk's items, in the order of items: item of each token, its hash, and words (hashes, one or two per token) for its rarity."""
 
     item: np.ndarray
     token: np.ndarray
@@ -76,7 +79,11 @@ def shingles(data: np.ndarray, off: np.ndarray) -> Sets:
     left, right = h[:-1][pair], h[1:][pair]
     item = np.r_[doc[1:][pair], doc[one]]
     token = np.r_[mix(left * U64(3) + mix(right)), mix(h[one] ^ U64(0x5BD1E995))]
-    return Sets(item, token, np.r_[left, h[one]], np.r_[right, h[one]], np.arange(len(n)), np.zeros(len(n), np.int64))
+    left, right = np.r_[left, h[one]], np.r_[right, h[one]]
+    if len(one):
+        order = np.argsort(item, kind="stable")
+        item, token, left, right = item[order], token[order], left[order], right[order]
+    return Sets(item, token, left, right, np.arange(len(n)), np.zeros(len(n), np.int64))
 
 
 def lines(data: np.ndarray, off: np.ndarray) -> Sets:
@@ -93,32 +100,53 @@ def lines(data: np.ndarray, off: np.ndarray) -> Sets:
     return Sets(w.text_of_word(), h, h, None, own, number)
 
 
+def _sums(item: np.ndarray, value: np.ndarray, n_items: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each item's distinct values (rows are sorted by item): how many there are, and the sum of their hashes."""
+    size = np.bincount(item, minlength=n_items)
+    total = np.zeros(len(item) + 1, U64)
+    np.cumsum(mix(value), out=total[1:])
+    first = np.r_[0, np.cumsum(size)]
+    return size, total[first[1:]] - total[first[:-1]]
+
+
+_LOW48, _LOW42 = U64((1 << 48) - 1), U64((1 << 42) - 1)
+
+
 def ordered(s: Sets, rarity: Callable[[Sets], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of each item, rarest first: item, 48-bit token, and each item's size and class key."""
+    """Distinct tokens of each item, rarest first: item, token (its level and 42 bits of its hash), and each item's size and class key.
+
+    Sizes and class keys see all 64 bits of the hashes: the key is of two sums over the set, one of the tokens' upper 42 bits and one of their lower 48.
+    Tokens of one item with the same 42 bits (none, mostly) are listed each.
+    """
     n_items = len(s.row)
-    width = max(1, int(n_items).bit_length())
     level = U64(0) if rarity is None else rarity(s).astype(U64)
-    if width <= 16:  # item, level and token fit into one number; a chunk of few items keeps more of the token
-        bits = U64(width)
-        key = (s.item.astype(U64) << (U64(64) - bits)) | (level << (U64(58) - bits)) | (s.token >> (bits + U64(6)))
+    if n_items <= 1 << 16:  # item, level and token fit into one number, so a plain sort does
+        key = (s.item.astype(U64) << U64(48)) | (s.token & _LOW48)
         key.sort()
         if len(key):
             key = key[np.r_[True, key[1:] != key[:-1]]]
-        item = (key >> (U64(64) - bits)).astype(np.int64)
-        token = (key << bits) >> U64(16)
-    else:
-        order = np.lexsort((s.token, np.broadcast_to(level, s.token.shape), s.item))
-        full, item = s.token[order], s.item[order]
-        new = np.r_[True, (full[1:] != full[:-1]) | (item[1:] != item[:-1])] if len(full) else np.zeros(0, bool)
-        token = ((np.broadcast_to(level, s.token.shape)[order] << U64(42)) | (full >> U64(22)))[new]
-        item = item[new]
-    size = np.bincount(item, minlength=n_items)
-    # the class key: a sum over the set, so no order is needed; the level depends on the token alone and is left out
-    total = np.zeros(len(item) + 1, U64)
-    np.cumsum(mix((token & U64((1 << 42) - 1)) >> U64(4)), out=total[1:])
-    first = np.r_[0, np.cumsum(size)]
-    k = mix(total[first[1:]] - total[first[:-1]] + U64(0x9E37)).astype(np.int64)
-    return item, token, size, k
+        size, low = _sums((key >> U64(48)).astype(np.int64), key & _LOW48, n_items)
+        key = (s.item.astype(U64) << U64(48)) | (level << U64(42)) | (s.token >> U64(22))
+        key.sort()
+        if len(key):
+            key = key[np.r_[True, key[1:] != key[:-1]]]
+        item, token = (key >> U64(48)).astype(np.int64), key & _LOW48
+        found, high = _sums(item, token & _LOW42, n_items)
+        if (size == found).all():
+            return item, token, size, mix(high + U64(0x9E37) + mix(low ^ U64(0x51ED))).astype(np.int64)
+    order = np.lexsort((s.token, np.broadcast_to(level, s.token.shape), s.item))
+    full, item, level = s.token[order], s.item[order], np.broadcast_to(level, s.token.shape)[order]
+    new = np.r_[True, (full[1:] != full[:-1]) | (item[1:] != item[:-1])] if len(full) else np.zeros(0, bool)
+    full, item, level = full[new], item[new], level[new]
+
+    def sums(value: np.ndarray) -> np.ndarray:
+        at = np.lexsort((value, item))
+        v, i = value[at], item[at]
+        new = np.r_[True, (v[1:] != v[:-1]) | (i[1:] != i[:-1])] if len(v) else np.zeros(0, bool)
+        return _sums(i[new], v[new], n_items)[1]
+
+    k = mix(sums(full >> U64(22)) + U64(0x9E37) + mix(sums(full & _LOW48) ^ U64(0x51ED))).astype(np.int64)
+    return item, (level << U64(42)) | (full >> U64(22)), np.bincount(item, minlength=n_items), k
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -133,17 +161,6 @@ def _six(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
 
 
-def _five(a: np.ndarray) -> bytes:
-    """Tokens of ordered() without levels, as 5 bytes each."""
-    return np.ascontiguousarray((a >> U64(2)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _from_five(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
-
-
 def _ends(pairs: DataFrame, *more: str) -> DataFrame:
     """k, n of both ends of the pairs, after other columns; repeated."""
     end = lambda i: F.struct(F.col(f"k{i}").alias("k"), F.col(f"n{i}").alias("n"))
@@ -253,7 +270,7 @@ class _Held:
         pos = (self.size - count)[item] + place  # unshared tokens come first
         take = pos < (self.size - (percent * self.size + 99) // 100 + 1)[item]
         prev = np.where(place > 0, np.r_[U64(0), token[:-1]], U64(0))[take] if len(item) else token
-        return token[take], self.k[item][take], self.size[item][take].astype(np.int32), np.minimum(pos[take], 65535).astype(np.uint16), prev.astype(np.uint32), parity[item][take]
+        return token[take], self.k[item][take], self.size[item][take].astype(np.int32), np.minimum(pos[take], 65535).astype(np.uint16), prev, parity[item][take]
 
 
 def _answers(path: str, block: int) -> dict[tuple[int, int], tuple[int, int, bytes]]:
@@ -342,6 +359,7 @@ class SetJoin:
         """small: the tokens are words, whose counts tell rare ones without asking."""
         self.texts, self.kind, self.percent, self.small = texts, kind, percent, small
         self.spark = texts.sparkSession
+        self.used: list[str] = []
         path = scratch(self.spark, "classes")
         self._first_pass().write.parquet(path)
         self.first = self.spark.read.parquet(path)
@@ -463,15 +481,25 @@ class SetJoin:
             yield record(told, *zip(*rows), bits)
 
         path = scratch(self.spark, "shared")
-        answers = self.texts.mapInArrow(ask, "block int, lot int, bucket int, tokens binary, flags binary").repartition(buckets, "bucket")
+        self.used.append(path)
+        answers = self.texts.mapInArrow(ask, "block int, lot int, bucket int, tokens binary, flags binary").repartitionById(buckets, F.col("bucket"))
         answers.mapInArrow(tell, "block int, lot int, bucket int, n int, total long, bits binary").repartition("block").write.partitionBy("block").parquet(path)
         return path
 
+    def candidates(self) -> DataFrame:
+        """pairs(), computed and kept; what was written on the way is deleted."""
+        got = cut(self.pairs(self.rarity()))
+        for path in self.used:
+            discard(self.spark, path)
+        self.used.clear()
+        return got
+
     def pairs(self, rarity: Rarity) -> DataFrame:
         """k1, n1, k2, n2: each candidate pair of classes once."""
         percent = self.percent
         shared = self.spark.sparkContext.broadcast(rarity)
-        buckets = max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 2)  # longer runs of a class in each
+        # longer runs of a class in each, and about BUCKET_BYTES where there are few partitions for much text
+        buckets = max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 2, int(rarity.n * POSTING_BYTES / BUCKET_BYTES))
         hot, below = U64(rarity.hot()), rarity.asked_below()
         lots, told = self._held(shared), None if self.small else self._ask(shared, buckets, below)
         schema = pa.schema([("bucket", pa.int32()), ("tok", pa.binary()), ("k", pa.binary()), ("n", pa.binary()), ("pos", pa.binary()), ("prev", pa.binary()), ("parity", pa.binary())])
@@ -488,7 +516,8 @@ class SetJoin:
             edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(at) else []
             for a, b in zip(edge, [*edge[1:], len(at)]):
                 x = at[a:b]
-                yield record(schema, [bucket[a]], [_pack(_six(tok[x]))], *([_pack(c[x])] for c in more))
+                k, n, pos, prev, parity = (c[x] for c in more)
+                yield record(schema, [bucket[a]], *([_pack(c)] for c in (_six(tok[x]), k, n, pos, _six(prev), parity)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             answers = _answers(told, TaskContext.get().partitionId()) if told else {}
@@ -510,7 +539,7 @@ class SetJoin:
             held: dict[int, list[tuple[np.ndarray, ...]]] = {}
             for batch in batches:
                 for bucket, tok, k, n, pos, prev, parity in zip(*(c.to_pylist() for c in batch.columns)):
-                    own = (_whole(tok), _unpack(k, np.int64), _unpack(n, np.int32), _unpack(pos, np.uint16), _unpack(prev, np.uint32), _unpack(parity, U64))
+                    own = (_whole(tok), _unpack(k, np.int64), _unpack(n, np.int32), _unpack(pos, np.uint16), _whole(prev), _unpack(parity, U64))
                     if bucket < buckets:
                         held.setdefault(bucket, []).append(own)
                     else:
@@ -521,7 +550,8 @@ class SetJoin:
                     yield record(out, none, k1, n1, k2, n2, none, none, none)
 
         path = scratch(self.spark, "pairs")
-        self.texts.mapInArrow(run, "bucket int, tok binary, k binary, n binary, pos binary, prev binary, parity binary").repartition(buckets, "bucket").mapInArrow(reduce, ddl).write.parquet(path)
+        self.used.append(path)
+        self.texts.mapInArrow(run, "bucket int, tok binary, k binary, n binary, pos binary, prev binary, parity binary").repartitionById(buckets, F.col("bucket") % buckets).mapInArrow(reduce, ddl).write.parquet(path)
         both = self.spark.read.schema(ddl).parquet(path)
         own = both.where("tok is not null").select("tok", F.col("k1").alias("k"), F.col("n1").alias("n"), "pos", "prev", "parity").groupBy("tok", "k", "n").agg(F.min("pos").alias("pos"), F.min("prev").alias("prev"), F.min("parity").alias("parity"))
         a, b = (own.select("tok", *(F.col(c).alias(f"{c}{i}") for c in ("k", "n", "pos", "prev", "parity"))) for i in (1, 2))
@@ -568,7 +598,7 @@ class SetJoin:
         return self._meet(placed, none, judge, schema, "home long, lo int, hi int, k1 long, n1 int, k2 long, n2 int")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """k, n, tokens (40 bits of each hash) of wanted classes and perhaps others; a class may come once from each task."""
+        """k, n, tokens (whole hashes, ascending) of wanted classes and perhaps others; a class may come once from each task."""
         kind = self.kind
         bloom = self.spark.sparkContext.broadcast(_bloom(wanted))
         schema = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
@@ -577,13 +607,14 @@ class SetJoin:
             bits, seen = bloom.value, set()
             for batch in batches:
                 for _, _, data, off in chunks(batch.column(1)):
-                    _, token, size, k = ordered(kind(data, off), None)
+                    s = kind(data, off)
+                    _, _, size, k = ordered(s, None)
+                    first = np.searchsorted(s.item, np.arange(len(size) + 1)).tolist()
                     rows = []
-                    first = np.r_[0, np.cumsum(size)].tolist()
                     for i in np.flatnonzero((size > 0) & _in_bloom(bits, k)).tolist():
                         if (key := (int(k[i]), int(size[i]))) not in seen:
                             seen.add(key)
-                            rows.append((*key, _five(token[first[i] : first[i + 1]])))
+                            rows.append((*key, np.unique(s.token[first[i] : first[i + 1]]).tobytes()))
                     if rows:
                         yield record(schema, *zip(*rows))
 
@@ -654,7 +685,7 @@ class SetJoin:
 
 def _linked(members: dict, wanted: list, percent: int) -> list:
     """The wanted pairs that reach the threshold."""
-    tokens = {m: _from_five(v[4]) for m, v in members.items()}
+    tokens = {m: np.frombuffer(v[4], U64) for m, v in members.items()}
     sets: dict = {}
 
     def as_set(m: tuple) -> set:
@@ -676,30 +707,32 @@ def _linked(members: dict, wanted: list, percent: int) -> list:
     return out
 
 
-def _places(k: np.ndarray) -> list[np.ndarray]:
+def _places(k: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(k.astype(np.int64).view(U64))
-    return [((h >> U64(s)) % U64(BLOOM_BITS)).astype(np.int64) for s in (0, 19, 38)]
+    return [((h >> U64(s)) % U64(bits)).astype(np.int64) for s in (0, 17, 34)]
 
 
-def _in_bloom(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+def _in_bloom(table: np.ndarray, k: np.ndarray) -> np.ndarray:
     out = np.ones(len(k), bool)
-    for p in _places(k):
-        out &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1) == 1
+    for p in _places(k, 8 * len(table)):
+        out &= (table[p >> 3] >> (p & 7).astype(np.uint8) & 1) == 1
     return out
 
 
 def _bloom(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of keys, of a fixed size: each task's, packed, are or-ed by range of bits."""
-    size = BLOOM_BITS // 8
-    step = size // 64
+    """A Bloom filter of keys, of 8 bits for each, BLOOM_BITS at most: the bits that tasks find are or-ed by range."""
+    keys = wanted.count()
+    bits = min(BLOOM_BITS, max(1 << 20, 1 << int(8 * keys).bit_length()))
+    piece = min(bits // 8, 1 << 17)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, np.uint8)
+        got = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for p in _places(batch.column(0).to_numpy(zero_copy_only=False)):
-                np.bitwise_or.at(bits, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
-        if bits.any():
-            yield record(schema, list(range(64)), [_pack(bits[i * step : (i + 1) * step]) for i in range(64)])
+            for p in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(got, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
+        for i in range(0, len(got), piece):
+            if got[i : i + piece].any():
+                yield record(schema, [i // piece], [_pack(got[i : i + piece])])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -707,12 +740,11 @@ def _bloom(wanted: DataFrame) -> np.ndarray:
             for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = _unpack(b, np.uint8)
                 total[i] = total[i] | b if i in total else b
-        if total:
-            yield record(schema, list(total), [_pack(b) for b in total.values()])
+        for i, b in total.items():
+            yield record(schema, [i], [_pack(b)])
 
     schema = pa.schema([("i", pa.int32()), ("bits", pa.binary())])
-    got = wanted.select("k").mapInArrow(run, "i int, bits binary").repartition("i").mapInArrow(join, "i int, bits binary").collect()
-    bits = np.zeros(size, np.uint8)
-    for i, b in got:
-        bits[i * step : (i + 1) * step] |= _unpack(bytes(b), np.uint8)
-    return bits
+    table = np.zeros(bits // 8, np.uint8)
+    for i, b in wanted.select("k").mapInArrow(run, "i int, bits binary").repartition("i").mapInArrow(join, "i int, bits binary").collect():
+        table[i * piece : (i + 1) * piece] |= _unpack(bytes(b), np.uint8)
+    return table

@@ -118,3 +118,24 @@ def test_sketch_bound():
         s = [setjoin.sketches(np.zeros(len(x), np.int64), x, np.array([len(x)])) for x in (a, b)]
         assert setjoin.distance(*s) <= len(np.setxor1d(a, b))
         assert setjoin.distance(s[0], s[0]) == 0
+
+
+def test_sizes_and_keys_dont_depend_on_the_chunk():
+    import numpy as np
+    import pyarrow as pa
+
+    from loomgraph.llm.textkernel import buffers
+
+    texts = [t or "" for _, t in corpus(4)]
+    whole = setjoin.ordered(setjoin.shingles(*buffers(pa.array(texts))), None)
+    for i, t in enumerate(texts):
+        one = setjoin.ordered(setjoin.shingles(*buffers(pa.array([t]))), None)
+        assert (one[2][0], one[3][0]) == (whole[2][i], whole[3][i]) and one[2][0] == len(brute.shingle_set(t))
+    # tokens that agree in their upper 42 bits, or in their lower 48, are told apart
+    token = np.array([1 << 40, (1 << 40) + 1, 1 << 60, (1 << 60) + 7, 7, (1 << 50) + 7], dtype=np.uint64)
+    item = np.array([0, 0, 1, 1, 2, 3])
+    s = setjoin.Sets(item, token, token, None, np.arange(4), np.zeros(4, np.int64))
+    _, _, size, k = setjoin.ordered(s, None)
+    assert size.tolist() == [2, 2, 1, 1] and len(set(k.tolist())) == 4
+    again = setjoin.ordered(setjoin.Sets(np.array([0]), token[4:5], token[4:5], None, np.arange(1), np.zeros(1, np.int64)), None)
+    assert again[3][0] == k[2]

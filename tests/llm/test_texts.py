@@ -107,6 +107,33 @@ def test_pseudonyms_round_trip_and_link():
     assert pii.luhn_digit(p.text("4111111111111112")[0][:-1]) != p.text("4111111111111112")[0][-1]
 
 
+def test_values_within_longer_candidates():
+    p, q = pii.Pseudonymiser(b"key"), pii.Pseudonymiser(b"key", back=True)
+    card = p.text("4111111111111111")[0]
+    for before, after in (("", " 12/26"), ("pay ", " 123"), ("", " 99 000"), ("no DE12 ", " x")):
+        new, found = p.text(before + "4111111111111111" + after)
+        assert found == {"card": 1} and new == before + card + after and q.text(new)[0] == before + "4111111111111111" + after
+    new, found = p.text("4111 1111 1111 1111 123")
+    assert found == {"card": 1} and pii._only_digits(new)[:16] == card and new.endswith(" 123")
+    text = "ES91 2100 0418 4502 0005 1332 BIC and 2020-01-15T10:22"
+    new, found = p.text(text)
+    assert found == {"iban": 1, "date": 1} and " BIC and " in new and new.endswith("T10:22") and q.text(new)[0] == text
+    assert p.text("4111111111111111 12/26/2020")[1] == {"card": 1, "date": 1}
+    rng = random.Random(3)
+    for _ in range(400):  # every text comes back, whatever groups of digits follow one another
+        text = " ".join("".join(rng.choice("0123456789") for _ in range(rng.choice((2, 3, 4, 4, 4, 4, 13, 14, 15, 16)))) for _ in range(rng.randint(1, 6)))
+        assert q.text(p.text(text)[0])[0] == text
+
+
+def test_pii_is_linear_in_long_runs():
+    import time
+
+    rng, began = random.Random(1), time.process_time()
+    for letters in ("ab1", "a", "1", "A1", "é.", "1.", "1-", "1 ", "+1 ", "@a", "a@"):
+        pii.Pseudonymiser().text("".join(rng.choice(letters) for _ in range(1_000_000)) + " x@y.org")
+    assert time.process_time() - began < 120
+
+
 def test_pii_edges(spark):
     rows = EDGE + [(9, "mail me@x.org, me@x.org")]
     got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, rows)).collect()}
@@ -193,6 +220,56 @@ def test_toxicity_on_the_tables(spark, small):
 # 5
 
 
+def test_terms_are_whole_words_and_characters():
+    import pyarrow as pa
+
+    from loomgraph.llm.textkernel import ALNUM
+
+    text = "Straßenbahnen straßenbahnhof ab äöüä 日本語 x"
+    w = scan(*buffers(pa.array([text, "", "本語"])), ALNUM)
+    words = ["straßenbahnen", "straßenbahnhof", "ab", "äöüä", "日本語", "x", "本語"]
+    *cut, whole = toxicity.stems(w, (4, 6))
+    for size, got in zip((4, 6), cut):
+        want = [next(t for t in (word[:n] for n in range(len(word), 0, -1)) if len(t.encode()) <= size) for word in words]
+        assert [int(x).to_bytes(8, "big").strip(b"\0").decode() for x in got] == want
+    assert len(set(whole.tolist())) == 7 and whole[2] == cut[0][2] and whole[0] != whole[1]
+    doc, pairs = toxicity.neighbours(w)
+    assert doc.tolist() == [0, 0, 2] and pairs[1] == pairs[2] != pairs[0]
+
+
+def slow_walk(edges, starts, restart, rounds):
+    """Random walks with restart over a dictionary {(a, b): weight}, one node after the other."""
+    n = len(starts)
+    degree = [sum(p for e, p in edges.items() if i in e) for i in range(n)]
+    x = list(starts)
+    for _ in range(rounds):
+        to = [0.0] * n
+        for (a, b), p in edges.items():
+            to[b] += p * x[a] / degree[a]
+            to[a] += p * x[b] / degree[b]
+        lost = 1 - sum(to)
+        x = [(1 - restart) * (t + lost * s) + restart * s for t, s in zip(to, starts)]
+    return x
+
+
+def test_walk_and_graph_against_brute_force(spark):
+    docs = [(1, "aa bb cc aa bb"), (2, "bb cc dd aa bb cc"), (3, None), (4, "cc dd ee ee bb aa")] * 3
+    texts = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    rows = [(t or "").split() for _, t in docs]
+    count = Counter(w for r in rows for w in r)
+    terms = sorted(count)
+    key = np.array([int.from_bytes(t.encode(), "big") for t in terms], dtype=np.uint64)
+    n = sum(count.values())
+    got = toxicity.graph(texts, key, np.array([count[t] for t in terms]), n, (4, 6), 2, 1.0)
+    pairs = Counter(tuple(sorted((r[i], r[j]))) for r in rows for i in range(len(r)) for j in range(i + 1, min(i + 3, len(r))) if r[i] != r[j])
+    want = {(a, b): math.log(c / (4 * count[a] * count[b] / n)) for (a, b), c in pairs.items() if c >= toxicity.SUPPORT}
+    want = {k: v for k, v in want.items() if v > 0}
+    assert {(terms[r.a], terms[r.b]): pytest.approx(r.ppmi, rel=1e-5) for r in got.collect()} == want and want
+    start = [0.5, 0.0, 0.0, 0.5, 0.0]
+    p = toxicity.walk(got, np.array(start)[:, None])[:, 0]
+    assert p == pytest.approx(slow_walk({(terms.index(a), terms.index(b)): v for (a, b), v in want.items()}, start, toxicity.RESTART, toxicity.ROUNDS), rel=1e-4)
+
+
 def test_class_model(spark):
     rng = random.Random(11)
     rows = [(i, " ".join(rng.choice(("red blue green".split(), "runs walks".split())[k % 2]) for k in range(rng.randint(0, 30)))) for i in range(120)]
@@ -249,17 +326,18 @@ def test_exchange_finds_the_classes():
 # 7
 
 
-@pytest.mark.parametrize("block", [1 << 20, 30])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("block,at_once", [(1 << 20, 8), (30, 8), (60, 2)])
+def test_decontamination(spark, monkeypatch, block, at_once):
+    monkeypatch.setattr(decontamination, "BLOCKS_AT_ONCE", at_once)
     rng = random.Random(9)
     vocabulary = ["alpha", "béta", "g4mma", "Delta", "eps", "zeta"]
     text = lambda n: rng.choice([" ", ", ", "-", "\n"]).join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, text(rng.choice([1, 2, 3, 5, 13, 14, 30]))) for i in range(10, 25)] + [(30, None), (31, "?!"), (10, "alpha"), (40, "alpha"), (None, "eps")]
+    items = [(i, text(rng.choice([1, 2, 3, 5, 13, 14, 30]))) for i in range(10, 25)] + [(30, None), (31, "?!"), (10, "alpha"), (40, "alpha"), (None, "eps"), (None, text(20))]
     docs = [(i, text(rng.randint(0, 60))) for i in range(40)] + [(50, None), (51, ""), (52, "alpha"), (52, "alpha"), (53, "... " * 5000 + "béta")]
-    docs += [(60 + i, text(5) + " " + t + " " + text(5)) for i, (_, t) in enumerate(items[:8])]
+    docs += [(60 + i, text(5) + " " + t + " " + text(5)) for i, (_, t) in enumerate([*items[:8], items[-1]])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.find_items(frame(spark, docs), bench, block_bytes=block)
-    want = brute.contaminated(docs, [x for x in items if x[0] is not None])
+    want = [(i, n, hit, [x for x in own if x is not None]) for i, n, hit, own in brute.contaminated(docs, items)]
     assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got.collect()) == sorted(want)
     d = {r.doc_id: r for r in decontamination.digests(got).collect()}
     for i, n, hit, own in want:
