@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +42,26 @@ def fresh(want: str, *frames: DataFrame) -> str:
     return want
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs are the rows of files, perhaps filtered and with other columns, so that each row has a place in a file."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a unique number of each row, written once so that later passes find the same; and the number's column."""
-    spark = docs.sparkSession
-    path, row = scratch(spark, "numbered"), fresh("_row", docs)
+    """docs with a 64-bit number of each row, the same in every pass; and the number's column.
+
+    A Parquet row is told by its place (a hash of its file and number there). Other rows are written once.
+    """
+    spark, row = docs.sparkSession, fresh("_row", docs)
+    if _is_scan(docs) and "_metadata" not in {c.lower() for c in docs.columns}:
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(row)), row
+        except AnalysisException:  # files of a format without row numbers
+            pass
+    path = scratch(spark, "numbered")
     with_row = docs.withColumn(row, F.monotonically_increasing_id())
     with_row.write.parquet(path)
     return spark.read.schema(with_row.schema).parquet(path), row
