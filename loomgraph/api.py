@@ -37,6 +37,7 @@ class Graph:
             last = sorted(r.v for r in spark.read.schema("v long").json(f"{folder}/index/CURRENT").collect())[-1]
             self.index = spark.read.schema(schema(VECTOR_INDEX)).parquet(f"{folder}/index/v{last:06d}")
         self.synced_seq = -1
+        self.rejects: DataFrame | None = None  # chunks of the last build that a model failed on, with the error
 
     # building
 
@@ -55,7 +56,7 @@ class Graph:
                 readers.list_files(self.spark, other)
             if other:
                 files = readers.read_xml(self.spark, [p for p in other if p.endswith(".xml")]) if all(p.endswith(".xml") for p in other) else readers.read_pdf_xml(self.spark, other)
-                tokens = layout.parse_layout_xml(files).withColumn("joined", F.lit(1))
+                tokens = layout.joined(cut(layout.typed(layout.parse_layout_xml(files))))
                 paragraphs = layout.to_paragraphs(layout.segments(layout.islands(tokens)))
                 names = files.select("doc_id", "name")
             else:
@@ -88,7 +89,9 @@ class Graph:
 
     def _add(self, chunks: DataFrame, full: DataFrame, names: DataFrame, elements: DataFrame | None) -> None:
         p = self.providers
-        log = extract.build_logs(chunks, p.extractor, p.model.max_threads).where("error is null").drop("error")
+        made = cut(extract.build_logs(chunks, p.extractor, p.model.max_threads))
+        self.rejects = made.where("error is not null").select("document_id", "chunk_id", "chunk_text", "error")
+        log = made.where("error is null").drop("error")
         if elements is not None:
             log = log.unionByName(extract.visual_logs(elements, self._visual_answers(elements)).select(*log.columns))
         log = cut(resolve.resolve_log(cut(log), p.resolver, p.reranker))
@@ -205,6 +208,23 @@ class Graph:
         self.tables = self._kept(gs.put_edges(self.tables, row))
         return row.first().id
 
+    def add_property(self, node_id: str, description: str, document_id: str | None = None, chunk_id: int | None = None) -> str:
+        """A further property of a node, after those it has."""
+        meta = [(document_id, chunk_id, None)] if document_id else []
+        row = self.spark.createDataFrame([(node_id, description, meta)], f"node_id string, description string, metadata array<{METADATA}>")
+        last = self.tables.properties.where(F.col("node_id") == node_id).agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("pos"))
+        row = row.join(F.broadcast(last)).select(derived_id(F.lit("property"), "node_id", "description", "pos").alias("id"), "node_id", F.col("pos").cast("int").alias("pos"), "description", "metadata")  # one row with one row
+        row = cut(row)
+        self.tables = self._kept(gs.put_properties(self.tables, row))
+        return row.first().id
+
+    def get_document_by_id(self, document_id: str):
+        """The document's row, or None."""
+        return self.tables.documents.where(F.col("id") == document_id).first()
+
+    def get_document_by_name(self, name: str):
+        return self.tables.documents.where(F.col("name") == name).first()
+
     def remove_document(self, name: str) -> None:
         self.tables = self._kept(gs.delete_document(self.tables, search.document_ids(self.tables.documents, [name])[0]))
 

@@ -95,18 +95,20 @@ def keep_good_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where(is_good_chunk(F.col("text"))).withColumn("text", stripped(F.col("text")))
 
 
+#: A match is one token: letters four at a time, digits three, other marks, line breaks, and runs of blanks.
+_BLANK = r"\t-\r\x20\x1C-\x1F\x85\p{Z}"
+TOKEN = rf"\p{{L}}{{1,4}}|\p{{Nd}}{{1,3}}|[^\p{{L}}\p{{Nd}}{_BLANK}]|\n|[\t\x0B-\r\x20\x1C-\x1F\x85\p{{Z}}]{{2,}}"
+
+
 class TokenCounter:
     """Counts tokens as a byte-level BPE would, roughly and without a vocabulary: runs of letters cost one token for every four
-    characters begun, runs of digits one for every three, other marks one each; a single space before a run is free."""
-
-    pattern = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_|\n|[^\S\n]{2,}")
+    characters begun, runs of digits one for every three, other marks one each; a single space before a run is free.
+    token_count() does the same in the JVM."""
 
     def __call__(self, text: str | None) -> int:
-        n = 0
-        for m in self.pattern.finditer(text or ""):
-            w = m.group()
-            n += -(-len(w) // 4) if w[0].isalpha() else -(-len(w) // 3) if w[0].isdigit() else 1
-        return n
+        import regex
+
+        return len(regex.findall(TOKEN, text or ""))
 
 
 class VocabularyCounter:
@@ -131,11 +133,12 @@ class VocabularyCounter:
 
 
 def token_count(c: Column, counter: Callable[[str | None], int] | None = None) -> Column:
-    count = counter or TokenCounter()
+    if counter is None or type(counter) is TokenCounter:
+        return F.coalesce(F.regexp_count(c, F.lit(TOKEN)).cast("long"), F.lit(0).cast("long"))
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(count).astype("int64")
+        return texts.map(counter).astype("int64")
 
     return run(c)
 
@@ -162,8 +165,8 @@ def pack_paragraphs(paragraphs: list[tuple[str | None, str, int | None]], count:
             heading = held.pop()
             out.append((number, " ".join(held), page))
             number, held, filled = number + 1, [heading], count(heading)
-    if held:
-        out.append((number, " ".join(held), page))
+    if held:  # the last chunk carries the page of the last paragraph of all, one that is left out too
+        out.append((number, " ".join(held), paragraphs[-1][2]))
     return [x for x in out if x[1]]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.providers import Embedder
+from loomgraph.session import cut
 
 
 def compacted(change_log: DataFrame) -> DataFrame:
@@ -18,13 +19,19 @@ def compacted(change_log: DataFrame) -> DataFrame:
     )
 
 
-def document_of(nodes: DataFrame, children: DataFrame, deepest: int = 8) -> DataFrame:
-    """id, document_ids (sorted), document_id (the least): of a level-0 node its own documents, of others those of all nodes below."""
+def document_of(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """id, document_ids (sorted), document_id (the least): of a level-0 node its own documents, of others those of all nodes below, however deep.
+
+    Each step climbs one level; what was reached before isn't climbed again, so a cycle ends too.
+    """
     own = nodes.where("level = 0").select("id", F.explode(F.transform("metadata", lambda m: m["document_id"])).alias("document_id")).distinct()
-    reached = own
-    up = own
-    for _ in range(deepest):
-        up = up.join(children.select(F.col("child_id").alias("id"), "parent_id"), "id").select(F.col("parent_id").alias("id"), "document_id").distinct()
+    up_links = children.select(F.col("child_id").alias("id"), "parent_id")
+    reached, up, depth = own, own, 0
+    while True:
+        up = up.join(up_links, "id").select(F.col("parent_id").alias("id"), "document_id").distinct().join(reached, ["id", "document_id"], "left_anti")
+        depth += 1
+        if depth % 4 == 0:
+            up = cut(up)
         if not up.limit(1).count():
             break
         reached = reached.unionByName(up)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -81,11 +82,13 @@ def same_line(tokens: DataFrame) -> DataFrame:
 
 
 def line_context(tokens: DataFrame) -> DataFrame:
-    """For each token, the nearest edges of neighbours in its line: left_of_token, right_of_token (0 where there is none)."""
-    pairs = same_line(tokens)
+    """For each token, edges of neighbours that begin or end within its line (0 where there is none): of those that end before it the
+    greatest right (left_of_token) and the least left (left_most), of those that begin after it the least left (right_of_token) and the greatest right (right_most)."""
+    pairs = same_line(tokens).where("(top <= t2 and t2 < bottom) or (top < b2 and b2 <= bottom)")
+    before, after = F.col("r2") < F.col("right"), F.col("l2") > F.col("left")
+    edge = lambda f, where, c, name: F.coalesce(f(F.when(where, F.col(c))), F.lit(0.0)).alias(name)
     return pairs.groupBy("doc_id", "page", "idx").agg(
-        F.coalesce(F.max(F.when(F.col("r2") < F.col("right"), F.col("r2"))), F.lit(0.0)).alias("left_of_token"),
-        F.coalesce(F.min(F.when(F.col("l2") > F.col("left"), F.col("l2"))), F.lit(0.0)).alias("right_of_token"),
+        edge(F.max, before, "r2", "left_of_token"), edge(F.min, before, "l2", "left_most"), edge(F.min, after, "l2", "right_of_token"), edge(F.max, after, "r2", "right_most"),
     )
 
 
@@ -117,7 +120,7 @@ def pair_features(tokens: DataFrame) -> DataFrame:
         (F.col("color") == F.col("next_color")).cast("int").alias("same_color"),
         F.abs(F.col("font_size") - F.col("next_font_size")).alias("size_change"),
         F.length("content").alias("length"), F.length("next_content").alias("next_length"),
-        (F.length("content") - F.length(F.replace("content", F.lit(" "), F.lit("")))).alias("spaces"),
+        (F.length("content") - F.length(F.replace("content", F.lit(" "), F.lit("")))).alias("spaces"), punctuation_count(F.col("content")).alias("marks"), punctuation_count(F.col("next_content")).alias("next_marks"),
         F.col("content").rlike(r"[.!?;:]$").cast("int").alias("ends_mark"), F.col("content").rlike(r",$").cast("int").alias("ends_comma"),
         F.col("content").endswith("-").cast("int").alias("ends_hyphen"), starts_upper("content").alias("upper"), starts_upper("next_content").alias("next_upper"),
         (F.col("next_left") - F.col("right")).alias("gap_right"), (F.col("next_top") - F.col("bottom")).alias("gap_down"),
@@ -131,13 +134,66 @@ def pair_features(tokens: DataFrame) -> DataFrame:
 
 
 def gap_without_between(tokens: DataFrame) -> DataFrame:
-    """For each token and the next: the vertical gap between their lines less what tokens that lie in it fill."""
+    """For each token and the next of its page: the vertical gap between them; where tokens begin in it, the gap above those and what they fill of it, less the gap below."""
     w = Window.partitionBy("doc_id", "page").orderBy("idx")
     own = tokens.select("doc_id", "page", "idx", F.col("bottom").alias("from"), F.lead("top").over(w).alias("to")).where("to is not null")
-    between = tokens.select("doc_id", "page", F.col("idx").alias("j"), "top", "bottom")
-    hit = own.join(between, ["doc_id", "page"], "left").where("j is null or (top >= from and bottom <= to)")
-    filled = hit.groupBy("doc_id", "page", "idx").agg((F.max("bottom") - F.min("top")).alias("filled"))
-    return own.join(filled, ["doc_id", "page", "idx"], "left").select("doc_id", "page", "idx", (F.col("to") - F.col("from") - F.coalesce("filled", F.lit(0.0))).alias("gap"))
+    between = tokens.select("doc_id", "page", "top", "bottom")
+    filled = own.join(between, ["doc_id", "page"]).where("top >= from and top < to").groupBy("doc_id", "page", "idx").agg((F.max("bottom") + F.min("top")).alias("ends"))
+    gap = F.coalesce(F.col("ends") - 2 * F.col("from"), F.col("to") - F.col("from"))
+    return own.join(filled, ["doc_id", "page", "idx"], "left").select("doc_id", "page", "idx", gap.alias("gap"))
+
+
+@dataclass(frozen=True)
+class Modes:
+    """Usual measures of a document's tokens; 0 where they aren't known."""
+
+    line_space: float = 0.0
+    right: float = 0.0
+    font_size: float = 0.0
+
+
+def document_modes(tokens: DataFrame) -> DataFrame:
+    """doc_id and the most frequent space below a token, right edge and font size of each document (the least of equals)."""
+    w = Window.partitionBy("doc_id", "page").orderBy("idx")
+    below = F.lead("top").over(w) - F.col("bottom")
+    own = tokens.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("what"), F.round(c, 2).alias("value")) for n, c in (("line_space", below), ("right", F.col("right")), ("font_size", F.col("font_size")))))).alias("m"))
+    counts = own.where("m.value is not null").groupBy("doc_id", "m.what", "m.value").agg(F.count("*").alias("n"))
+    return counts.groupBy("doc_id").pivot("what", ["line_space", "right", "font_size"]).agg(F.max_by("value", F.struct("n", -F.col("value"))))
+
+
+#: Columns of position_features() after doc_id, page, idx.
+POSITIONS = ["line_right", "top", "right", "width", "height", "next_top", "next_right", "next_width", "next_height", "right_distance", "left_distance", "right_gap", "next_left_gap", "height_change", "top_distance", "top_distance_to_mode", "gap", "top_distance_less_height", "line_end_change", "line_start_change", "gap_to_mode", "right_to_mode"]
+
+
+def position_features(tokens: DataFrame, modes: Modes = Modes()) -> DataFrame:
+    """The POSITIONS of each token and the next of its page: where they and their lines begin and end, and how far they are apart."""
+    by = ["doc_id", "page", "idx"]
+    w = Window.partitionBy("doc_id", "page").orderBy("idx")
+    edges = ("left_of_token", "left_most", "right_of_token", "right_most")
+    own = tokens.select(*by, "left", "top", "right", "bottom").join(line_context(tokens), by, "left").fillna(0.0, edges)
+    own = own.withColumns({"line_right": F.greatest("right", "right_most"), "line_left": F.least("left", "left_most"), "width": F.col("right") - F.col("left"), "height": F.col("bottom") - F.col("top")})
+    own = own.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("left", "top", "right", "width", "height", "left_of_token", "line_right", "line_left")}).where("next_top is not null")
+    c = F.col
+    distance = c("next_top") - c("bottom")
+    out = own.join(gap_without_between(tokens), by).withColumns({
+        "right_distance": c("next_left") - c("right"), "left_distance": c("left") - c("next_left"), "right_gap": c("right_of_token") - c("right"), "next_left_gap": c("next_left") - c("next_left_of_token"),
+        "height_change": c("height") - c("next_height"), "top_distance": distance, "top_distance_to_mode": distance - modes.line_space, "top_distance_less_height": distance - c("height"),
+        "line_end_change": F.abs(c("line_right") - c("next_line_right")), "line_start_change": c("line_left") - c("next_line_left"), "gap_to_mode": modes.line_space - c("gap"), "right_to_mode": modes.right - c("line_right"),
+    })
+    return out.select(*by, *POSITIONS)
+
+
+def punctuation_count(c: Column) -> Column:
+    """How many ASCII punctuation marks a text has."""
+    return F.regexp_count(c, F.lit(r"[!-/:-@\[-`{-~]"))
+
+
+def paragraph_features(tokens: DataFrame, modes: Modes = Modes()) -> DataFrame:
+    """position_features() of typed tokens with one-hot types of both: type_<name>, next_type_<name>."""
+    w = Window.partitionBy("doc_id", "page").orderBy("idx")
+    kinds = tokens.select("doc_id", "page", "idx", "type", F.lead("type").over(w).alias("next_type"))
+    hot = {f"{p}_{t}": (F.col(p) == t).cast("int") for p in ("type", "next_type") for t in TOKEN_TYPES}
+    return position_features(tokens, modes).join(kinds, ["doc_id", "page", "idx"]).withColumns(hot).drop("type", "next_type")
 
 
 def unicode_categories(c: Column) -> Column:
@@ -190,6 +246,30 @@ def rule_types(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def rule_joined(x: np.ndarray) -> np.ndarray:
+    """A stand-in for a trained paragraph model. Columns: gap below, height, gap to the right, then the one-hot types of both tokens."""
+    types = x[:, 3:].reshape(len(x), 2, len(TOKEN_TYPES))
+    same = (types[:, 0] == types[:, 1]).all(axis=1)
+    near = x[:, 0] <= 0.8 * np.maximum(x[:, 1], 1.0)
+    on = (same & near).astype(float)
+    return np.column_stack([0.5 - on, on])
+
+
+def typed(tokens: DataFrame, model: Callable[[np.ndarray], np.ndarray] = rule_types) -> DataFrame:
+    """The tokens with the type that a model (of the columns that rule_types names) gives them."""
+    page = Window.partitionBy("doc_id", "page")
+    named = {"_mean": F.avg("font_size").over(page), "_share": F.col("top") / F.col("page_height"), "_mark": F.col("content").rlike(r"[.!?;:]$").cast("int")}
+    got = predict(tokens.withColumns(named), ["font_size", "_mean", "_share", "_mark"], model)
+    return got.withColumn("type", F.element_at(F.array(*map(F.lit, TOKEN_TYPES)), F.col("predicted") + 1)).select(*tokens.columns)
+
+
+def joined(tokens: DataFrame, model: Callable[[np.ndarray], np.ndarray] = rule_joined) -> DataFrame:
+    """Typed tokens with joined: 1 where a model of paragraph_features (as rule_joined names them) has a token go on into the next of its page."""
+    hot = [f"{p}_{t}" for p in ("type", "next_type") for t in TOKEN_TYPES]
+    got = predict(paragraph_features(tokens), ["top_distance", "height", "right_distance", *hot], model)
+    return tokens.join(got.select("doc_id", "page", "idx", F.col("predicted").alias("joined")), ["doc_id", "page", "idx"], "left").fillna(0, ["joined"])
+
+
 def islands(tokens: DataFrame, joined: str = "joined") -> DataFrame:
     """Tokens with their paragraph number within the page: a token with joined <> 0 goes on into the next one of its page."""
     w = Window.partitionBy("doc_id", "page").orderBy("idx")

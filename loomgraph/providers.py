@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import math
+import json
 import os
 import random
 import re
@@ -11,6 +12,9 @@ import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
+
+import numpy as np
 
 from loomgraph.errors import MissingCredentials, ProviderFailure, TemplateMismatch
 
@@ -44,6 +48,14 @@ class LanguageModel(ABC):
     def answer_json(self, prompt: str) -> str:
         return self.answer(prompt)
 
+    def answer_in(self, prompt: str, schema: dict) -> str:
+        """An answer in JSON of the given schema; a model without such a mode is told the schema."""
+        return self.answer_json(f"{prompt}\n\nAnswer in JSON of this schema: {json.dumps(schema, sort_keys=True)}")
+
+    def answer_about(self, prompt: str, image: bytes, kind: str = "image/png") -> str:
+        """An answer about an image; models that see none raise ProviderFailure."""
+        raise ProviderFailure("this model takes no images")
+
 
 class Embedder(ABC):
     required_credentials: tuple[str, ...] = ()
@@ -104,16 +116,36 @@ class HashedEmbedder(Embedder):
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
-        for t in texts:
-            t = f" {' '.join(words(t.replace(chr(10), ' ')))} "
-            v = [0.0] * self.width
-            for i in range(len(t) - 2):
-                h = int.from_bytes(hashlib.blake2b(t[i : i + 3].encode(), digest_size=8).digest(), "little")
-                v[h % self.width] += 1.0 if h >> 63 else -1.0
-            norm = math.sqrt(sum(x * x for x in v)) or 1.0
-            out.append([x / norm for x in v])
+        for lo in range(0, len(texts), 256):
+            out += self._block([f" {' '.join(words(t.replace(chr(10), ' ')))} " for t in texts[lo : lo + 256]]).tolist()
         return out
 
+    def _block(self, texts: list[str]) -> np.ndarray:
+        """Each distinct triple is hashed once, and looked up for all its places."""
+        size = np.array([len(t) for t in texts])
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        key = code[:-2] << 42 | code[1:-1] << 21 | code[2:]
+        end = np.cumsum(size)
+        inside = np.ones(len(key), dtype=bool)  # a triple lies within one text
+        for back in (1, 2):
+            inside[(at := end - back)[(at >= 0) & (at < len(key))]] = False
+        text = np.repeat(np.arange(len(texts)), size)[: len(key)][inside]
+        triples, place = np.unique(key[inside], return_inverse=True)
+        known = np.array([self._place(int(k)) for k in triples.tolist()], dtype=np.int64).reshape(-1, 2)
+        v = np.bincount(text * self.width + known[place, 0], weights=known[place, 1], minlength=len(texts) * self.width).reshape(-1, self.width)
+        norm = np.sqrt((v * v).sum(axis=1))
+        return v / np.where(norm == 0, 1.0, norm)[:, None]
+
+    def _place(self, key: int) -> tuple[int, int]:
+        h = _triple_hash(key)
+        return h % self.width, 1 if h >> 63 else -1
+
+
+@lru_cache(maxsize=1 << 17)
+def _triple_hash(key: int) -> int:
+    triple = "".join(chr(key >> s & 0x1FFFFF) for s in (42, 21, 0))
+    return int.from_bytes(hashlib.blake2b(triple.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
 
 class OverlapReranker(Reranker):
     """The share of the query's words that the text has."""
@@ -200,6 +232,52 @@ def retried(call: Callable, attempts: int = 3, longest: float = 40.0, sleep: Cal
     return run
 
 
+def message(role: str, text: str, image: bytes | None = None, kind: str = "image/png") -> dict:
+    """A chat message of a text, with an image as a data URL where there is one."""
+    if image is None:
+        return {"role": role, "content": text}
+    url = f"data:{kind};base64,{base64.b64encode(image).decode()}"
+    return {"role": role, "content": [{"type": "text", "text": text}, {"type": "image_url", "image_url": {"url": url}}]}
+
+
+@dataclass(frozen=True)
+class Parameter:
+    """A parameter of a tool: one of `choices` where there are any."""
+
+    name: str
+    kind: str
+    description: str
+    choices: tuple[str, ...] = ()
+    required: bool = True
+
+    def schema(self) -> dict:
+        return {"type": self.kind, "description": self.description} | ({"enum": list(self.choices)} if self.choices else {})
+
+
+@dataclass(frozen=True)
+class Function:
+    """A tool that a model may call."""
+
+    name: str
+    description: str
+    parameters: tuple[Parameter, ...] = ()
+
+    def schema(self) -> dict:
+        own = {"type": "object", "properties": {p.name: p.schema() for p in self.parameters}, "required": [p.name for p in self.parameters if p.required]}
+        return {"type": "function", "function": {"name": self.name, "description": self.description, "parameters": own}}
+
+
+@dataclass(frozen=True)
+class FunctionCall:
+    """A call that a model asked for; `arguments` is its JSON."""
+
+    name: str
+    arguments: str
+
+    def values(self) -> dict:
+        return json.loads(self.arguments)
+
+
 _VARIABLE = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
 TEMPLATES = {
