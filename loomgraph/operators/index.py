@@ -26,12 +26,9 @@ def document_of(nodes: DataFrame, children: DataFrame) -> DataFrame:
     """
     own = nodes.where("level = 0").select("id", F.explode(F.transform("metadata", lambda m: m["document_id"])).alias("document_id")).distinct()
     up_links = children.select(F.col("child_id").alias("id"), "parent_id")
-    reached, up, depth = own, own, 0
+    reached = up = own = cut(own)
     while True:
-        up = up.join(up_links, "id").select(F.col("parent_id").alias("id"), "document_id").distinct().join(reached, ["id", "document_id"], "left_anti")
-        depth += 1
-        if depth % 4 == 0:
-            up = cut(up)
+        up = cut(up.join(up_links, "id").select(F.col("parent_id").alias("id"), "document_id").distinct().join(reached, ["id", "document_id"], "left_anti"))
         if not up.limit(1).count():
             break
         reached = reached.unionByName(up)

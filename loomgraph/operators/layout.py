@@ -155,8 +155,8 @@ class Modes:
 def document_modes(tokens: DataFrame) -> DataFrame:
     """doc_id and the most frequent space below a token, right edge and font size of each document (the least of equals)."""
     w = Window.partitionBy("doc_id", "page").orderBy("idx")
-    below = F.lead("top").over(w) - F.col("bottom")
-    own = tokens.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("what"), F.round(c, 2).alias("value")) for n, c in (("line_space", below), ("right", F.col("right")), ("font_size", F.col("font_size")))))).alias("m"))
+    spaced = tokens.select("doc_id", "right", "font_size", (F.lead("top").over(w) - F.col("bottom")).alias("line_space"))
+    own = spaced.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("what"), F.round(n, 2).alias("value")) for n in ("line_space", "right", "font_size")))).alias("m"))
     counts = own.where("m.value is not null").groupBy("doc_id", "m.what", "m.value").agg(F.count("*").alias("n"))
     return counts.groupBy("doc_id").pivot("what", ["line_space", "right", "font_size"]).agg(F.max_by("value", F.struct("n", -F.col("value"))))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +133,11 @@ def doc_stats(spark, d):
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_num"), F.sum("tokens").alias("token_num"))
 
 
+@query("select doc_id, len(regexp_extract_all(coalesce(text, ''), '" + text.TOKEN.replace("'", "''") + "'))::bigint as tokens from documents")
+def token_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.token_count(F.col("text")).alias("tokens"))
+
+
 @query("select source, n, t, round((t / 1e6 * 5.0 + t / 1e6 * 15.0 / 4) * 2.5, 4) as cost, case when n <= 2 then 4 else ceil(n / 2.0)::bigint * 4 end + 8 * n as seconds from (select source, count(*) as n, sum(n_chars // 4)::bigint as t from documents group by source)")
 def cost_and_time_estimate(spark, d):
     own = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("n_chars") / 4)).cast("long").alias("t"))
@@ -193,10 +199,13 @@ def self_edge_property(spark, d):
     return loops.join(nodes.select(F.col("id").alias("node_id"), "name", "document_id"), "node_id").groupBy("document_id", "name").agg(F.count("*").alias("n"))
 
 
-@query(f"select k.doc as document_id, k.name, p.l_returnflag as description, count(*) as n from {_PLACED} p join {_KNOWN} k on k.doc = p.doc and k.name = lower(p.p_name) group by all")
+_OWN_PROPERTIES = f"select k.doc, k.name, p.l_returnflag from {_PLACED} p join {_KNOWN} k on k.doc = p.doc and k.name = lower(p.p_name)"
+
+
+@query(f"select doc as document_id, name, l_returnflag as description, count(*) as n from ({_OWN_PROPERTIES} union all select doc, a, l_returnflag from {_ENDS} where a = b) group by all")
 def property_resolution(spark, d):
     log, nodes = _known(spark, d)
-    loops = extract.graph_edges(log, nodes)[1].limit(0)
+    loops = extract.graph_edges(log, nodes)[1]
     own = extract.graph_properties(log, nodes, loops)
     return own.join(nodes.select(F.col("id").alias("node_id"), "name", "document_id"), "node_id").groupBy("document_id", "name", "description").agg(F.count("*").alias("n"))
 
@@ -407,17 +416,46 @@ def context_concat(spark, d):
     return search.context(hits, by=["name"])
 
 
-@query("select 'n' || n_nationkey as id, 'n' as kind, n_name || ', ' || '' as text from nation union all select 'o' || o_orderkey, 'o', lower(c_name) || ', ' || o_orderpriority from orders join customer on c_custkey = o_custkey")
+_NODE_TEXTS = (
+    "select 'r' || r_regionkey as id, r_name as name, '' as text, 2 as level, 0 as edges from region union all select 'n' || n_nationkey, n_name, '', 1, 0 from nation"
+    " union all select 'c' || c_custkey, lower(c_name), c_mktsegment, 0, 0 from customer"
+    f" union all select 's' || s_suppkey, lower(s_name), 'supplier', 0, coalesce(n, 0) from supplier left join (select l_suppkey, count(*) as n from {_PS} group by 1) on l_suppkey = s_suppkey"
+    f" union all select 'p' || p_partkey, lower(p_name), p_brand, 0, coalesce(n, 0) from part left join (select l_partkey, count(*) as n from {_PS} group by 1) on l_partkey = p_partkey"
+)
+
+
+@query(
+    f"select id, 'node' as type, name || ', ' || text as text from ({_NODE_TEXTS})"
+    " union all select 'e' || l_partkey || '_' || l_suppkey, 'edge', max(l_returnflag) from lineitem join supplier on s_suppkey = l_suppkey group by 1"
+    " union all select 'o' || o_orderkey, 'property', lower(c_name) || ', ' || o_orderpriority from orders join customer on c_custkey = o_custkey"
+)
 def object_texts(spark, d):
     t = shop.graph(spark, d)
-    own = index.object_texts(t.nodes.where("level < 2"), t.edges.limit(0), t.properties, t.node_children)
-    return own.withColumn("kind", F.substring("id", 1, 1)).where("kind in ('n', 'o')").select("id", "kind", "text")
+    return index.object_texts(t.nodes, t.edges, t.properties, t.node_children).select("id", "type", "text")
 
 
-@query("select id, name, level, coalesce(n, 0) as edges from (select 's' || s_suppkey as id, lower(s_name) as name, 0 as level, s_suppkey from supplier) left join (select l_suppkey, count(*) as n from " + _PS + " group by 1) on l_suppkey = s_suppkey")
+@query(f"select id, name, level, edges::bigint as edges from ({_NODE_TEXTS})")
 def node_views(spark, d):
     full = graphstore.node_view(shop.graph(spark, d), "full")
-    return full.where("description = 'supplier'").select("id", "name", "level", F.coalesce(F.size("edge_ids"), F.lit(0)).cast("long").alias("edges"))
+    return full.select("id", "name", "level", F.coalesce(F.size("edge_ids"), F.lit(0)).cast("long").alias("edges"))
+
+
+def _upserted(spark, d):
+    """Suppliers are there; every other one comes again with a new description, and all customers are new."""
+    t = shop.graph(spark, d)
+    there = t.nodes.where("id like 's%'")
+    again = there.where(F.substring("id", 2, 20).cast("long") % 2 == 0).withColumn("description", F.lit("changed"))
+    return graphstore.put_nodes(replace(graphstore.Tables.new(spark), nodes=there), again.unionByName(t.nodes.where("id like 'c%'")))
+
+
+@query("select 's' || s_suppkey as id, case when s_suppkey % 2 = 0 then 'changed' else 'supplier' end as description from supplier union all select 'c' || c_custkey, c_mktsegment from customer")
+def node_upsert(spark, d):
+    return _upserted(spark, d).nodes.select("id", "description")
+
+
+@query("select 's' || s_suppkey as id, 'update' as action, 'node' as type from supplier where s_suppkey % 2 = 0 union all select 'c' || c_custkey, 'create', 'node' from customer")
+def node_upsert_log(spark, d):
+    return _upserted(spark, d).change_log.select("id", "action", "type")
 
 
 # --- layout and visuals
@@ -456,6 +494,25 @@ def bounding_boxes(spark, d):
     return own.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.round("a_left", 6).alias("x0"), F.round("a_right", 6).alias("x1"), F.round(layout.overlap_percent("a_", "b_"), 4).alias("covered"))
 
 
+@query("select e.user_id::varchar as doc_id, e.event_id as idx, round(coalesce(max(m.value + 1) + min(m.value) - 2 * (e.value + 1), e.below - (e.value + 1)), 6) as gap from (select *, lead(value) over (partition by user_id order by event_id) as below from events) e left join events m on m.user_id = e.user_id and m.value >= e.value + 1 and m.value < e.below where below is not null group by e.user_id, e.event_id, e.value, e.below")
+def layout_gap(spark, d):
+    return layout.gap_without_between(_tokens(spark, d)).select("doc_id", "idx", F.round("gap", 6).alias("gap"))
+
+
+_LINES = "(select a.user_id, a.event_id, a.value, coalesce(max(b.value + 1) filter (b.value + 1 < a.value + 1), 0) as left_of, coalesce(min(b.value) filter (b.value < a.value), 0) as left_most, coalesce(min(b.value) filter (b.value > a.value), 0) as right_of, coalesce(max(b.value + 1) filter (b.value > a.value), 0) as right_most from events a left join events b on b.user_id = a.user_id and b.event_id <> a.event_id and ((a.value <= b.value and b.value < a.value + 1) or (a.value < b.value + 1 and b.value + 1 <= a.value + 1)) group by 1, 2, 3)"
+
+
+@query(f"select user_id::varchar as doc_id, event_id as idx, round(greatest(value + 1, right_most), 6) as line_right, round(right_of - (value + 1), 6) as right_gap, round(lead(value - left_of) over w, 6) as next_left_gap, round(lead(value) over w - (value + 1), 6) as top_distance, round(abs(greatest(value + 1, right_most) - lead(greatest(value + 1, right_most)) over w), 6) as line_end_change, round(least(value, left_most) - lead(least(value, left_most)) over w, 6) as line_start_change from {_LINES} window w as (partition by user_id order by event_id) qualify lead(value) over w is not null")
+def layout_positions(spark, d):
+    names = ("line_right", "right_gap", "next_left_gap", "top_distance", "line_end_change", "line_start_change")
+    return layout.position_features(_tokens(spark, d)).select("doc_id", "idx", *(F.round(n, 6).alias(n) for n in names))
+
+
+@query("select doc_id, l as line_space, r as \"right\", f as font_size from (select user_id::varchar as doc_id, 10.0::double as f, arg_max(x, (n, -x)) as r from (select user_id, round(value + 1, 2) as x, count(*) as n from events group by all) group by user_id) left join (select user_id::varchar as doc_id, arg_max(x, (n, -x)) as l from (select user_id, round(below - (value + 1), 2) as x, count(*) as n from (select *, lead(value) over (partition by user_id order by event_id) as below from events) where below is not null group by all) group by user_id) using (doc_id)")
+def layout_modes(spark, d):
+    return layout.document_modes(_tokens(spark, d).withColumn("font_size", F.lit(10.0)))
+
+
 @query("select r_name as name, '| key | nation |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) order by n_nationkey) as grid from nation join region on r_regionkey = n_regionkey group by 1")
 def markdown_table(spark, d):
     own = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
@@ -479,7 +536,7 @@ def embedding_topk(spark, d):
     return index.nearest_batch(docs, items, 3)
 
 
-@query()
+@query("select item_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')), ['the', 'nation', 'and', 'order', 'of', 'that'])) / 6.0::double as score from benchmark")
 def rerank_items(spark, d):
     """Overlap scores of benchmark items with the fixed question of the flagship query."""
     score = search.score_column(F.lit("the nation and the order of that"), F.col("text"), OverlapReranker())

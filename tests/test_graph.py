@@ -7,7 +7,7 @@ from loomgraph import providers as pr
 from loomgraph.api import Graph
 from loomgraph.errors import DuplicateDocument, IllogicalAction, InvalidObject, MissingCredentials, TablesMissing, TemplateMismatch, UnknownDocument, UnsupportedFile
 from loomgraph.operators import community, extract, graphstore as gs, index, multimodal, report, search
-from loomgraph.schemas import ANALYSIS, CHANGE_LOG, EDGES, NODE_CHILDREN, NODES, PROPERTIES, DOCUMENTS, empty
+from loomgraph.schemas import ANALYSIS, CHANGE_LOG, EDGES, NODE_CHILDREN, NODES, PROPERTIES, DOCUMENTS, empty, schema
 from loomgraph.sources import readers
 
 
@@ -292,3 +292,71 @@ def test_stream(spark, tmp_path):
     q = ingest(chunk_stream(stream_texts(spark, f"file://{tmp_path}/in")), lambda df, i: seen.append((i, df.count())), f"file://{tmp_path}/cp")
     q.awaitTermination(60)
     assert sum(n for _, n in seen) == 1
+
+
+def test_layout_gap_and_positions(spark):
+    from loomgraph.operators import layout
+
+    box = lambda i, left, top, right, bottom: ("d", 1, i, f"word, {i}.", left, top, right, bottom, "TEXT" if i < 2 else "TITLE", 600, 800, 12.0)
+    rows = [box(0, 0.0, 0.0, 10.0, 10.0), box(1, 0.0, 50.0, 10.0, 60.0), box(2, 40.0, 15.0, 50.0, 20.0), box(3, 60.0, 15.0, 70.0, 20.0)]
+    tokens = spark.createDataFrame(rows, "doc_id string, page int, idx int, content string, left double, top double, right double, bottom double, type string, page_width int, page_height int, font_size double")
+    assert [r.gap for r in layout.gap_without_between(tokens).orderBy("idx").collect()] == [15.0, -45.0, -5.0]
+    p = layout.position_features(tokens, layout.Modes(line_space=2.0, right=100.0)).orderBy("idx").collect()
+    assert len(p) == 3 and p[0].asDict().keys() == {"doc_id", "page", "idx", *layout.POSITIONS}
+    assert (p[2].line_right, p[2].right_gap, p[2].next_left_gap, p[2].right_to_mode, p[2].gap_to_mode) == (70.0, 10.0, 10.0, 30.0, 7.0)
+    f = layout.paragraph_features(tokens).orderBy("idx").collect()
+    assert [(r.type_TEXT, r.next_type_TITLE) for r in f] == [(1, 0), (1, 1), (0, 1)]
+    assert tokens.select(layout.punctuation_count(F.col("content")).alias("n")).first().n == 2
+    m = layout.document_modes(tokens).first()
+    assert (m.right, m.font_size, m.line_space) == (10.0, 12.0, -45.0)
+    assert layout.joined(tokens).where("joined = 1").count() == 1 and layout.typed(tokens).count() == 4
+    assert layout.position_features(tokens.limit(0)).count() == 0
+
+
+def test_contracts(spark, tmp_path):
+    from loomgraph import contracts
+    from loomgraph.providers import Function, FunctionCall, HashedEmbedder, Parameter, message
+
+    repo = contracts.default_repository(spark, "g", f"file://{tmp_path}")
+    assert repo.max_level() == 0 and repo.node("x") is None
+    meta = [("doc", 1, None)]
+    nodes = spark.createDataFrame([("a", "Ada", "first", 0, False, None, meta), ("b", "Bob", "second", 0, False, None, meta)], schema(NODES))
+    repo.put(nodes=nodes)
+    repo.put(edges=spark.createDataFrame([("e", "a", "b", "knows", meta)], schema(EDGES)))
+    assert repo.node_named("ADA", "doc").id == "a" and repo.edge("e").description == "knows" and repo.nodes_at(0).count() == 2
+    assert repo.change_log().count() == 3
+    repo.save()
+    repo.remove_node("a")
+    assert repo.node("a") is None and repo.edge("e") is None
+    assert contracts.default_repository(spark, "g", f"file://{tmp_path}").node("a").name == "Ada"
+    store = contracts.vector_store("table", spark, HashedEmbedder(16))
+    rows = spark.createDataFrame([("1", "red apple", 0, "node", "d", ["d"]), ("2", "blue sky", 0, "edge", "d", ["d"])], "id string, text string, level int, type string, document_id string, document_ids array<string>")
+    store.insert(rows)
+    store.insert(rows)
+    assert store.search("red apple", 5).first().id == "1" and store.search("red apple", 5, {"type": "edge"}).count() == 1
+    store.delete(["1"])
+    assert store.search("red apple", 5).count() == 1
+    with pytest.raises(ValueError):
+        contracts.vector_store("none", spark, HashedEmbedder(16))
+    f = Function("find", "finds", (Parameter("kind", "string", "what", ("a", "b")), Parameter("n", "integer", "how many", required=False)))
+    assert f.schema()["function"]["parameters"] == {"type": "object", "properties": {"kind": {"type": "string", "description": "what", "enum": ["a", "b"]}, "n": {"type": "integer", "description": "how many"}}, "required": ["kind"]}
+    assert FunctionCall("find", '{"n": 2}').values() == {"n": 2}
+    assert message("user", "look", b"\x00")["content"][1]["image_url"]["url"] == "data:image/png;base64,AA=="
+
+
+def test_embedder_hashes_triples():
+    import hashlib
+    import math
+
+    from loomgraph.providers import HashedEmbedder
+
+    def slow(t, width):
+        t, v = f" {' '.join(__import__('re').findall(r'[^\W_]+', t.lower()))} ", [0.0] * width
+        for i in range(len(t) - 2):
+            h = int.from_bytes(hashlib.blake2b(t[i : i + 3].encode(), digest_size=8).digest(), "little")
+            v[h % width] += 1.0 if h >> 63 else -1.0
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        return [x / norm for x in v]
+
+    texts = ["Hello, wörld 日本語!", "", "a", "ab", "The quick\nbrown_fox \U0001f600 jumps", "x" * 50]
+    assert HashedEmbedder(32).embed(texts) == [slow(t, 32) for t in texts]
