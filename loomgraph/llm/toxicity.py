@@ -4,8 +4,8 @@ Terms are lower-cased words (by a 64-bit hash where they are longer than 6 bytes
 4 and 6 bytes, up to the end of a character. Where a script has no spaces, a run of characters of 3 bytes or more also gives each two
 neighbours. The graph's nodes are all terms that two or more labelled texts have, and those with at least
 `least` of all terms (so 1 / least of them at most). Two nodes are linked where they occur together more
-often than chance has it (positive pointwise mutual information): words, and shortest stems, that follow one another within
-`window` places, stop terms (above `most` of all) left out, and the terms of one word. Counts are over all texts; a pair counts from `support`
+often than chance has it (positive pointwise mutual information): words next to one another, shortest stems within
+`window` places, stop terms (above `most` of all) and words below `least` left out, and the terms of one word. Counts are over all texts; a pair counts from `support`
 occurrences on, as the information of one or two is mostly chance. Seeds are terms
 that labelled toxic texts have significantly more often; the counterpart are terms of the other labelled texts
 by their frequency. The polarity of a term is the log ratio of two random walks with restart, one from
@@ -187,8 +187,10 @@ def nodes(texts: DataFrame, sample: DataFrame, sizes: tuple[int, ...], least: fl
             for _, _, data, off in chunks(batch.column(1)):
                 w = scan(data, off, ALNUM)
                 doc, more = neighbours(w)
-                keys = np.unique(np.column_stack([np.r_[np.tile(w.text_of_word().astype(U64), len(sizes) + 1), doc.astype(U64)], np.concatenate([*stems(w, sizes), more])]), axis=0)
-                yield record(pa.schema([("term", pa.int64())]), np.ascontiguousarray(keys[:, 1]).view(np.int64))
+                key = np.concatenate([*stems(w, sizes), more])
+                of = np.r_[np.tile(w.text_of_word(), len(sizes) + 1), doc].astype(U64)
+                _, once = np.unique(mix(key) + of * U64(0x9E3779B97F4A7C15), return_index=True)
+                yield record(pa.schema([("term", pa.int64())]), key[once].view(np.int64))
 
     in_sample = sample.mapInArrow(own, "term long").groupBy("term").count().where("count >= 2").select("term")
     frequent = F.col("count") >= max(2.0, least * n)  # 1 / least rows at most
@@ -198,25 +200,26 @@ def nodes(texts: DataFrame, sample: DataFrame, sizes: tuple[int, ...], least: fl
     return term[order], count[order], int(n)
 
 
-#: Marks pairs of terms of one word.
-OF_WORD = U64(1 << 63)
+#: Mark pairs of terms of one word, and pairs of whole words that stand next to one another.
+OF_WORD, NEXT = U64(1 << 63), U64(1 << 62)
 
 
 def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(x, y).astype(U64) << U64(32) | np.maximum(x, y).astype(U64)
 
 
-def graph(texts: DataFrame, terms: np.ndarray, counts: np.ndarray, n: int, sizes: tuple[int, ...], window: int, most: float, support: int = SUPPORT) -> DataFrame:
+def graph(texts: DataFrame, terms: np.ndarray, counts: np.ndarray, n: int, sizes: tuple[int, ...], window: int, most: float, support: int = SUPPORT, least: float = 0.0) -> DataFrame:
     """a, b (places among the nodes), ppmi: each linked pair once."""
     spark = texts.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     content = counts <= most * n if len(counts) > 100 else np.ones(len(counts), bool)
-    shared = spark.sparkContext.broadcast((terms, counts, content))
+    frequent = content & (counts >= least * n)  # words below it, which few labelled texts have, hang on their stems
+    shared = spark.sparkContext.broadcast((terms, counts, content, frequent))
     within = float(counts[content].sum())
     schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("ppmi", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, _, content = shared.value
+        terms, _, content, frequent = shared.value
         c = Counter(buckets)
         for batch in batches:
             for _, _, data, off in chunks(batch.column(1)):
@@ -227,27 +230,27 @@ def graph(texts: DataFrame, terms: np.ndarray, counts: np.ndarray, n: int, sizes
                 for x, y in zip(at, at[1:]):
                     ok = (x >= 0) & (y >= 0) & (x != y)
                     yield from c.add(_pair(x[ok], y[ok]) | OF_WORD)
-                for own in (at[0], at[-1]):
-                    keep = (own >= 0) & content[own]
+                for own, linked in ((at[0], content), (at[-1], frequent)):
+                    keep = (own >= 0) & linked[own]
                     whole, place, of = own is at[-1], own[keep], doc[keep]
                     short = at[0][keep]
-                    for k in range(1, window + 1):
+                    for k in range(1, 2 if whole else window + 1):
                         x, y = place[:-k], place[k:]
                         ok = (of[:-k] == of[k:]) & (x != y)
                         if whole:  # words that are their own shortest stems have met
                             ok &= (x != short[:-k]) | (y != short[k:])
-                        yield from c.add(_pair(x[ok], y[ok]))
+                        yield from c.add(_pair(x[ok], y[ok]) | (NEXT if whole else U64(0)))
         yield from c.flush()
 
     def out(keys: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, counts, _ = shared.value
+        _, counts, _, _ = shared.value
         keep = pairs >= support
         keys, pairs = keys[keep], pairs[keep]
-        word = (keys & OF_WORD) != 0
-        keys = keys & ~OF_WORD
+        word, next_to = (keys & OF_WORD) != 0, (keys & NEXT) != 0
+        keys = keys & ~(OF_WORD | NEXT)
         a, b = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
         # chance: 2 * window places for a pair, among content terms
-        chance = np.where(word, counts[a] / n * counts[b], 2.0 * window * counts[a] / within * counts[b])
+        chance = np.where(word, counts[a] / n * counts[b], np.where(next_to, 2.0, 2.0 * window) * counts[a] / within * counts[b])
         ppmi = np.log(pairs / chance)
         good = ppmi > 0
         for i in range(0, int(good.sum()), 1 << 16):
@@ -321,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rest = np.where(seeds > 0, 0.0, seen[0])
     if not seeds.sum() or not rest.sum():
         return none
-    p = walk(graph(texts, terms, counts, n, sizes, window, most, support), np.column_stack([seeds / seeds.sum(), rest / rest.sum()]))
+    p = walk(graph(texts, terms, counts, n, sizes, window, most, support, least), np.column_stack([seeds / seeds.sum(), rest / rest.sum()]))
     least_share = SMOOTH / n
     lexicon = Lexicon(terms, np.log((p[:, 0] + least_share) / (p[:, 1] + least_share)), sizes, base=share)
 
