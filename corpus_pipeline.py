@@ -51,8 +51,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark windows, or none. Null and empty texts have no words and stay; repeated rows are treated alike."""
-    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a whole benchmark window, however long they are, and with less than a twentieth of their words, or none, in items that are shorter than a window.
+
+    Null and empty texts have no words and stay; repeated rows are treated alike.
+    """
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"), whole_windows=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

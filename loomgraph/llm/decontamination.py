@@ -145,6 +145,17 @@ class WindowSearch:
                 same = [[raw[w.starts[x] : w.ends[x]] for x in range(i, i + s.m)] == self._words(s, q) for i, q in zip(begin.tolist(), p.tolist())]
                 yield s, begin[same], p[same]
 
+    def hits(self, w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """A flag for each word that lies in an occurrence, and one for each text that has a window of `width` words."""
+        delta, whole = np.zeros(len(w.starts) + 1, dtype=np.int64), np.zeros(len(w.first) - 1, bool)
+        doc = w.text_of_word()
+        for s, begin, _ in self.occurrences(w):
+            np.add.at(delta, begin, 1)
+            np.add.at(delta, begin + s.m, -1)
+            if s.m == width:
+                whole[doc[begin]] = True
+        return np.cumsum(delta[:-1]) > 0, whole
+
     def search(self, w: Words) -> tuple[np.ndarray, list[np.ndarray]]:
         """A flag for each word that lies in an occurrence, and the ids of the items found in each text."""
         delta = np.zeros(len(w.starts) + 1, dtype=np.int64)
@@ -240,9 +251,10 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", share: int = 20, item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", share: int = 20, item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, whole_windows: bool = False) -> DataFrame:
     """The rows of docs (all columns) that aren't contaminated: no word, or fewer than one in `share`, lies in an occurrence.
 
+    whole_windows: a window of `width` words is enough, however long the text; items of fewer words still go by the share.
     What several passes found (for a benchmark beyond what is broadcast at once) is kept in a column of its own meanwhile.
     """
     spark, schema, hits = docs.sparkSession, docs.schema, fresh("_hits", docs)
@@ -255,21 +267,23 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                 keep, found = np.ones(batch.num_rows, bool), []
                 for i, j, data, off in chunks(batch.column(at).cast(pa.string())):
                     w = scan(data, off, ALNUM)
-                    hit = np.zeros(len(w.starts), bool)
+                    hit, whole = np.zeros(len(w.starts), bool), np.zeros(j - i, bool)
                     if again:
                         flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(batch.column(batch.num_columns - 1).slice(i, j - i).to_pylist(), w.counts().tolist())]
                         hit |= np.concatenate([*flags, np.zeros(0, np.uint8)]).astype(bool)
                     for s in searches:
-                        hit |= s.value.search(w)[0]
+                        h, own = s.value.hits(w, width)
+                        hit |= h
+                        whole |= own & whole_windows
                     total = np.r_[0, np.cumsum(hit)]
                     n = total[w.first[1:]] - total[w.first[:-1]]
-                    keep[i:j] = ~((n > 0) & (share * n >= w.counts()))
+                    keep[i:j] = ~(whole | (n > 0) & (share * n >= w.counts())) if last else ~whole
                     found += [] if last else [np.packbits(hit[a:b]).tobytes() for a, b in zip(w.first[:-1], w.first[1:])]
                 own = list(batch.columns)[: batch.num_columns - again]
                 if not last:
                     own.append(pa.array(found, pa.binary()))
                 out = pa.RecordBatch.from_arrays(own, names=(columns if last else [*columns, hits]))
-                yield out.filter(pa.array(keep)) if last else out
+                yield out.filter(pa.array(keep))
 
         return run
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
-from loomgraph.llm import queries
+from loomgraph.llm import decontamination, queries
 
 
 def test_stages_in_turn(spark, small):
@@ -40,6 +40,18 @@ def test_stages_with_odd_rows(spark, small):
         assert stage(spark, mixed.limit(0), small).count() == 0
 
 
+def test_decontamination_of_long_texts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(decontamination, "BLOCKS_AT_ONCE", 1)
+    item, filler = " ".join(f"q{i}" for i in range(20)), " ".join(f"w{i}" for i in range(2000))
+    bench = [(1, item), (2, "of course"), (3, " ".join(f"z{i}" for i in range(13)))]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, filler), (2, f"{filler} {item} {filler}"), (3, f"{filler} of course"), (4, "of course it is"), (5, f"{filler} {item[:40]}"), (6, f"{bench[2][1]} {filler}"), (7, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.decontamination(spark, frame, str(tmp_path)).collect()) == [1, 3, 5, 7]
+    passes = decontamination.keep_clean(frame, spark.createDataFrame(bench, "item_id long, text string"), block_bytes=30, whole_windows=True)
+    assert sorted(r.doc_id for r in passes.collect()) == [1, 3, 5, 7]
+
+
 def test_registry():
     q = entry.queries()
     assert "pipeline" in q and {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in queries.QUERIES}
