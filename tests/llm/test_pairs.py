@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from loomgraph.llm import setjoin
+from loomgraph.llm.common import small_batches, with_ids
 from loomgraph.llm.linededup import dedup_lines, removed_lines
 from loomgraph.llm.neardups import near_duplicates
 
@@ -42,6 +43,26 @@ def test_near_duplicates(spark, monkeypatch, hot, lot):
     assert any(r[2] for r in got)
 
 
+@pytest.mark.parametrize("hot", [None, 0])
+def test_dense_groups_make_no_pairs(spark, monkeypatch, hot):
+    if hot is not None:  # all tokens meet in the join; small groups and lots
+        monkeypatch.setattr(setjoin.Rarity, "hot", lambda self: hot)
+        for name, value in (("DENSE", 5), ("DENSE_LOT", 7)):
+            monkeypatch.setattr(setjoin, name, value)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(80)]
+    copies = 500 if hot is None else 40
+    docs = corpus() + [(1000 + i, " ".join(f"c{rng.randrange(10**6)}" if rng.random() < 0.09 else w for w in base)) for i in range(copies)]
+    texts = table(spark, docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    join = setjoin.SetJoin(with_ids(small_batches(texts)), setjoin.shingles, 60)
+    pairs = join.candidates()
+    assert join.groups.count() >= copies and pairs.count() < copies * copies / 8
+    got = sorted(tuple(r) for r in near_duplicates(table(spark, docs)).collect())
+    want = brute.near(docs)
+    linked = [r[2] for r in want if r[0] >= 1000]
+    assert got == want and 2 < sum(linked) / copies < copies - 2
+
+
 def test_near_duplicates_repeated_and_empty(spark):
     docs = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None), (3, None)]
     got = sorted(tuple(r) for r in near_duplicates(table(spark, docs)).collect())
@@ -90,6 +111,20 @@ def test_line_dedup(spark, monkeypatch, hot):
     assert got == want and any(g for g, _ in got.values())
 
 
+@pytest.mark.parametrize("hot", [None, 0])
+def test_line_dedup_of_dense_groups(spark, monkeypatch, hot):
+    if hot is not None:
+        monkeypatch.setattr(setjoin.Rarity, "hot", lambda self: hot)
+        for name, value in (("DENSE", 4), ("DENSE_LOT", 5)):
+            monkeypatch.setattr(setjoin, name, value)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(40)]
+    lines = [" ".join(f"c{rng.randrange(10**6)}" if rng.random() < 0.08 else w for w in base) for _ in range(500 if hot is None else 50)]
+    docs = [(i, "\n".join([f"own {i}", *lines[i : i + 2]])) for i in range(0, len(lines), 2)]
+    got = {r.doc_id: (r._removed or [], r.text) for r in dedup_lines(table(spark, docs)).collect()}
+    assert got == brute.line_dedup(docs) and any(g for g, _ in got.values())
+
+
 def test_line_dedup_repeated_and_empty(spark):
     docs = [(5, "p q r s t\nnew"), (5, "p q r s t\nnew"), (7, "p q r s t\nnewer")]
     got = sorted((r.doc_id, r.text) for r in dedup_lines(table(spark, docs)).collect())
