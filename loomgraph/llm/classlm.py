@@ -292,7 +292,7 @@ def ask(own: DataFrame, known: DataFrame, buckets: int) -> str:
 
     path = scratch(spark, "told")
     wide = known.select(F.col("word").cast("long"), F.col("value").cast("long"))
-    questions = own.mapInArrow(asked, ddl).unionByName(wide.mapInArrow(values, ddl)).repartition(buckets, "bucket")
+    questions = own.mapInArrow(asked, ddl).unionByName(wide.mapInArrow(values, ddl)).repartitionById(buckets, F.col("bucket"))
     questions.mapInArrow(tell, ddl).select("block", "lot", "bucket", "value").repartition("block").write.partitionBy("block").parquet(path)
     return path
 

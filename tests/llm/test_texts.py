@@ -6,12 +6,15 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from loomgraph.llm import classlm, decontamination, pii, quality, toxicity
+from loomgraph.llm import classlm, decontamination, packing, pii, quality, toxicity
+from loomgraph.llm.common import record
 from loomgraph.llm.sentencepieces import codec, encode_texts, model_path, token_digests
 from loomgraph.llm.textkernel import NOT_SPACE, buffers, chunks, scan
 
@@ -323,6 +326,22 @@ def test_exchange_finds_the_classes():
     assert len(set(cls[:10])) == 1 and len(set(cls[10:20])) == 1 and cls[0] != cls[10] and cls[20:].tolist() == [2, 3]
 
 
+def test_each_bucket_of_counts_has_a_task_of_its_own(spark):
+    buckets, words = 24, np.arange(5000, dtype=np.uint64) << np.uint64(8)
+    seen = pa.schema([("task", pa.int32()), ("words", pa.int64()), ("times", pa.int64())])
+
+    def count(batches):
+        c = packing.Counter(buckets, 8)
+        for _ in batches:
+            yield from c.add(words, np.full(len(words), 2))
+        yield from c.flush()
+
+    result = lambda k, n: iter([record(seen, [TaskContext.get().partitionId()], [len(k)], [int(n.sum())])])
+    rows = packing.total(spark.range(0, 3, 1, 3).mapInArrow(count, packing.COUNTED_DDL), result, "task int, words long, times long", buckets).collect()
+    assert len({r.task for r in rows}) == len(rows) == buckets
+    assert sum(r.words for r in rows) == 5000 and sum(r.times for r in rows) == 30000
+
+
 # 7
 
 
