@@ -25,9 +25,14 @@ from .setjoin import SetJoin, lines
 PERCENT = 80
 
 
+def _later_of(members: dict, a: tuple, b: tuple) -> tuple:
+    """The class whose first line is later, which one earlier match is enough for."""
+    return a if members[a][:3] > members[b][:3] else b
+
+
 def _later(members: dict, linked: list) -> list[tuple]:
     """The first lines of classes that match a class with an earlier first line."""
-    return [(*members[m][:3],) for m in {max(a, b, key=lambda m: members[m][:3]) for a, b in linked}]
+    return [(*members[m][:3],) for m in {_later_of(members, a, b) for a, b in linked}]
 
 
 def _document(id_col: str, text_col: str, row: str) -> F.Column:
@@ -44,7 +49,7 @@ def removed_lines(docs: DataFrame, row: str | None = None, *, percent: int = PER
     classes = cut(join.classes())
     pairs = join.candidates()
     place = ["doc", "row", "part"]
-    later = join.verified(pairs, classes, _later, pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("part", pa.int32())]), "doc long, row long, part int").distinct()
+    later = join.verified(pairs, classes, _later, pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("part", pa.int32())]), "doc long, row long, part int", _later_of).distinct()
     gone = classes.join(later.withColumn("gone", F.lit(True)), place, "left").where("copies > 1 or gone")
     lost = join.items().where("n > 0").join(gone.select("k", "n", F.col("doc").alias("d"), F.col("row").alias("r"), F.col("part").alias("p"), "gone"), ["k", "n"]).where("gone or doc <> d or row <> r or part <> p")
     return lost.groupBy("doc", "row").agg(F.array_sort(F.collect_set("part")).alias("removed"))

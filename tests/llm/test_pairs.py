@@ -174,3 +174,68 @@ def test_sizes_and_keys_dont_depend_on_the_chunk():
     assert size.tolist() == [2, 2, 1, 1] and len(set(k.tolist())) == 4
     again = setjoin.ordered(setjoin.Sets(np.array([0]), token[4:5], token[4:5], None, np.arange(1), np.zeros(1, np.int64)), None)
     assert again[3][0] == k[2]
+
+
+def test_only_lines_that_pairs_need_are_split_into_words(spark):
+    base = [f"b{i}" for i in range(20)]
+    texts = [(1, " ".join(base) + "\n\n own one two\r\n"), (2, "\n \nother line\n" + " ".join([*base[1:], "x"])), (3, None), (4, ""), (5, "\n"), (None, " ".join(["y", *base[:-1]]) + "\nlast of all")]
+    docs = small_batches(with_ids(spark.createDataFrame([(*d, i) for i, d in enumerate(texts)], "doc_id long, text string, row long").repartition(2)))
+    join = setjoin.SetJoin(docs, setjoin.lines, 80, small=True)
+    classes = join.classes().where("n = 20").cache()
+    got = sorted((r.k, r.n, bytes(r.tokens)) for r in join.line_sets(classes).where("n = 20").collect())
+    want = sorted((r.k, r.n, bytes(r.tokens)) for r in join.sets(classes.select("k", "n")).where("n = 20").collect())
+    assert len(got) == 3 and got == want
+    assert not {r.n for r in join.line_sets(classes).collect()} - {20}
+
+
+def test_words_of_one_line_have_no_postings(spark):
+    def postings(texts):
+        docs = small_batches(spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row long").repartition(2))
+        join, sent = setjoin.SetJoin(docs, setjoin.lines, 80, small=True), spark.sparkContext.accumulator(0)
+        rarity, held = join.rarity(), join._held(spark.sparkContext.broadcast(join.rarity()))
+        level = setjoin.U64(rarity.shared_from())
+        def count(batches):
+            for lot in held(batches):
+                sent.add(len(lot.line_postings(level, 80)[0]))
+            yield from ()
+
+        docs.mapInArrow(count, "n long").collect()
+        return sent.value
+
+    own = [" ".join(f"w{i}x{j}" for j in range(10)) + f" w{i}x0" for i in range(30)]
+    assert postings(own) == 0  # a word that a line repeats is of that line only
+    assert postings([*own, own[3] + " more"]) >= 2
+
+
+def test_wide_parity_loses_no_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vocabulary = np.sort(rng.choice(1 << 62, 600, replace=False).astype(np.uint64))
+    sets = []
+    for n in (50, 60, 64, 65, 70, 80, 130, 200):
+        first = rng.choice(vocabulary, n, replace=False)
+        sets += [first, np.unique(np.r_[first, rng.choice(vocabulary, 4)]), *(np.unique(np.r_[first[rng.permutation(n)[: n - c]], rng.choice(vocabulary, c)]) for c in (0, 2, n // 10, n // 8, n // 5))]
+    item = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    tokens = setjoin.ordered(setjoin.Sets(item, flat, flat, None, np.arange(len(sets)), np.zeros(len(sets), np.int64)), None)
+    lot = setjoin._Held(*tokens)
+    few, _ = setjoin._by_frequency(*lot.line_postings(setjoin.U64(0), 80), 0)
+    met = {frozenset((int(a), int(b))) for got in setjoin._met(*few, 80) for a, b in zip(got[0], got[2])}
+    key, as_sets = lot.k.tolist(), [set(s.tolist()) for s in sets]
+    want = {frozenset((key[i], key[j])) for i in range(len(sets)) for j in range(i) if key[i] != key[j] and 100 * len(as_sets[i] & as_sets[j]) >= 80 * len(as_sets[i] | as_sets[j])}
+    assert want and want <= met
+    assert any(min(len(as_sets[key.index(k)]) for k in p) <= 64 < max(len(as_sets[key.index(k)]) for k in p) for p in want)
+
+
+def test_an_end_that_is_settled_needs_no_other_pair():
+    import numpy as np
+
+    from loomgraph.llm.linededup import _later, _later_of
+
+    tokens = np.arange(10, dtype=np.uint64).tobytes()
+    members = {(k, 10): (k, 0, 0, 1, tokens, 0) for k in range(6)}
+    pairs = [(a, 10, b, 10) for a in range(6) for b in range(a)]
+    assert len(setjoin._linked(members, pairs, 80)) == 15
+    few = setjoin._linked(members, pairs, 80, _later_of)
+    assert len(few) == 5 and sorted(_later(members, few)) == [(k, 0, 0) for k in range(1, 6)]
