@@ -1,3 +1,4 @@
+from collections import Counter
 import random
 
 import pytest
@@ -360,3 +361,44 @@ def test_embedder_hashes_triples():
 
     texts = ["Hello, wörld 日本語!", "", "a", "ab", "The quick\nbrown_fox \U0001f600 jumps", "x" * 50]
     assert HashedEmbedder(32).embed(texts) == [slow(t, 32) for t in texts]
+
+
+def test_communities_of_large_components(spark):
+    """What is laid out by number gives the rows of label propagation by joins, a round at a time."""
+    rng = random.Random(5)
+    names = [f"{p}{i}" for p in "ps" for i in range(60)]
+    drawn = [(g + rng.choice(names), g + rng.choice(names)) for g in ("x", "y") for _ in range(260)] + [("z1", "z2"), ("z2", "z3")]
+    edges = spark.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(drawn)], "id string, frm string, to string")
+    nodes = spark.createDataFrame([(g + n,) for g in ("x", "y") for n in names] + [("z1",), ("z2",), ("z3",), ("alone",), (None,)], "id string")
+    near, ids = {}, sorted({x for e in drawn for x in e})
+    for a, b in drawn:
+        if a != b:
+            near.setdefault(a, Counter())[b] += 1
+            near.setdefault(b, Counter())[a] += 1
+    frame = spark.createDataFrame([(i,) for i in ids], "id string")
+    label = {i: i for i in ids}
+    for r in range(20):
+        turn = {x.id for x in frame.where(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0).collect()}
+        votes = {}
+        for a in near:
+            votes[a] = Counter()
+            for b, w in near[a].items():
+                votes[a][label[b]] += w
+        new = {a: max(v, key=lambda x: (v[x], x)) if a in turn else label[a] for a, v in votes.items()}
+        done = all(label[a] == new[a] for a in new)
+        label |= new
+        if done:
+            break
+    parts = {}
+    for i in ids:  # in order, so that a part is named by its least member
+        stack = [] if i in parts else [i]
+        while stack:
+            u = stack.pop()
+            if u not in parts:
+                parts[u] = i
+                stack += [v for v in near.get(u, ()) if label[v] == label[u]]
+    large = {r.node_id: r.community for r in community.communities(nodes, edges, local_edges=2).collect()}
+    assert {k: v for k, v in large.items() if k and k[0] in "xy" and k in near} == {k: v for k, v in parts.items() if k[0] in "xy" and k in near}
+    assert (large["alone"], large[None]) == ("alone", None) and len(large) == nodes.count()
+    small = {r.node_id: r.community for r in community.communities(nodes, edges).collect()}
+    assert small["z1"] == small["z3"] == "z1" and {large[z] for z in ("z1", "z2", "z3")} == {"z1"}
