@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,11 +90,57 @@ def nearest(index: DataFrame, query: list[float], k: int, filters: dict[str, obj
     return index.where(where(filters)).withColumn("distance", squared_distance(F.col(vector), q)).orderBy("distance", id_col).limit(k)
 
 
+def _ranked(query: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k least distances (ties by id, NaN last), in order."""
+    order = np.lexsort((ids, d, query))
+    q = query[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+    return order[np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < k]
+
+
+#: Vectors of either side that are met at once, and pairs of them whose distances are taken at once.
+SIDE, PAIRS = 1024, 1 << 16
+
+
+class _Nearest:
+    """The k nearest of all rows seen for queries q. Products rule a row out when its distance is above the k-th so far by more than their error can be;
+    the distances of other rows are taken exactly. What is held grows with the queries and k, not with the rows."""
+
+    def __init__(self, q: np.ndarray, k: int):
+        self.q, self.k = q, k
+        self.norm = (q * q).sum(axis=1)
+        self.query, self.d, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0), None
+        self.limit = np.full(len(q), np.inf)
+
+    def add(self, m: np.ndarray, ids: np.ndarray) -> None:
+        new = [(self.query, self.d, ids[:0] if self.ids is None else self.ids)]
+        norm = (m * m).sum(axis=1)
+        with np.errstate(all="ignore"):
+            about = self.norm[:, None] + norm - 2 * (self.q @ m.T)
+            error = 8 * (m.shape[1] + 8) * np.finfo(float).eps * (self.norm + norm.max(initial=0.0))
+            limit = self.limit
+            if len(m) >= self.k and np.isinf(limit).any():
+                limit = np.fmin(limit, np.partition(about, self.k - 1, axis=1)[:, self.k - 1] + error)
+            qi, mi = np.nonzero(~(about > (limit + error)[:, None]))
+            for lo in range(0, len(qi), PAIRS):
+                a, b = qi[lo : lo + PAIRS], mi[lo : lo + PAIRS]
+                new.append((a, ((m[b] - self.q[a]) ** 2).sum(axis=1), ids[b]))
+                if len(new) > 16:
+                    new = [self._best(new)]
+        self.query, self.d, self.ids = self._best(new)
+        last = np.flatnonzero(np.r_[self.query[1:] != self.query[:-1], True]) if len(self.query) else self.query
+        full = last[np.bincount(self.query, minlength=len(self.q))[self.query[last]] == self.k]
+        self.limit[self.query[full]] = self.d[full]
+
+    def _best(self, found):
+        query, d, ids = (np.concatenate(x) for x in zip(*found))
+        top = _ranked(query, d, ids, self.k)
+        return query[top], d[top], ids[top]
+
+
 def nearest_batch(index: DataFrame, queries: DataFrame, k: int, filters: dict[str, object] | None = None, id_col: str = "id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """query_id, id, distance, rank of each query's k nearest rows. queries: query_id, query (array). They are met with the index in
-    blocks, each small enough to be broadcast; each partition keeps a query's k nearest only before anything is shuffled."""
-    import numpy as np
-
+    blocks, each small enough to be broadcast; each partition keeps a query's k nearest only, from batch to batch."""
     own = index.where(where(filters)).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     id_type = dict(own.dtypes)["id"]
     spark = index.sparkSession
@@ -104,19 +151,16 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int, filters: dict[st
 
         def run(frames):
             ids, q = shared.value
-            best: list[tuple[np.ndarray, list]] = []
+            sides = [_Nearest(q[lo : lo + SIDE], k) for lo in range(0, len(q), SIDE)]
             for frame in frames:
-                if not len(frame):
-                    continue
-                m = np.stack(frame["v"].to_list())
                 names = frame["id"].to_numpy()
-                d = np.stack([((m - row) ** 2).sum(axis=1) for row in q])
-                for i in range(len(ids)):
-                    top = np.lexsort((names, d[i]))[:k]
-                    best.append((i, names[top], d[i][top]))
-            if best:
-                out = pd.concat([pd.DataFrame({"query_id": ids[i], "id": n, "distance": dist}) for i, n, dist in best])
-                yield out.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
+                for lo in range(0, len(frame), SIDE):
+                    m = np.stack(frame["v"].iloc[lo : lo + SIDE].to_list())
+                    for side in sides:
+                        side.add(m, names[lo : lo + SIDE])
+            for i, side in enumerate(sides):
+                if side.ids is not None:
+                    yield pd.DataFrame({"query_id": [ids[i * SIDE + j] for j in side.query], "id": side.ids, "distance": side.d})
 
         return own.mapInPandas(run, f"query_id long, id {id_type}, distance double")
 

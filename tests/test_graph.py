@@ -402,3 +402,25 @@ def test_communities_of_large_components(spark):
     assert (large["alone"], large[None]) == ("alone", None) and len(large) == nodes.count()
     small = {r.node_id: r.community for r in community.communities(nodes, edges).collect()}
     assert small["z1"] == small["z3"] == "z1" and {large[z] for z in ("z1", "z2", "z3")} == {"z1"}
+
+
+def test_nearest_batch_holds_no_more_than_the_nearest(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=(7, 8))
+    got, rows = index._Nearest(q, 5), []
+    for lo in range(0, 4000, 500):
+        m = rng.integers(-2, 3, size=(500, 8)).astype(float) if lo % 1000 else rng.normal(size=(500, 8)) + 1e6 * (lo == 2000)
+        m[::7] = m[0]  # many ties
+        rows.append(m)
+        got.add(m, np.arange(lo, lo + 500))
+        assert len(got.d) <= 7 * 5
+    every = np.concatenate(rows)
+    for i in range(7):
+        d = ((every - q[i]) ** 2).sum(axis=1)
+        want = sorted((x, j) for j, x in enumerate(d))[:5]
+        assert [(x, j) for x, j in zip(got.d[got.query == i], got.ids[got.query == i])] == want
+    few = index._Nearest(q, 5)
+    few.add(np.array([[np.nan] * 8, [np.inf] * 8, [0.0] * 8]), np.array([2, 1, 0]))
+    assert few.ids.tolist() == [0, 1, 2] * 7
