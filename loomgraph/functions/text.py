@@ -82,10 +82,8 @@ def _joined(parts: list[str], size: int, overlap: int) -> list[str]:
 def split_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """doc_id, chunk_id (numbered before any filter), text, page_num (null). Null texts have no chunk."""
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else split_text(t, size, overlap))
-
+    # a row at a time: a batch of an Arrow function has 10,000 texts, however long, and all of their pieces at once
+    pieces = F.udf(lambda t: [] if t is None else split_text(t, size, overlap), "array<string>", useArrow=False)
     own = docs.select(F.col(id_col).cast("string").alias("doc_id"), pieces(F.col(text_col)).alias("_pieces"))
     return own.select("doc_id", F.posexplode("_pieces").alias("chunk_id", "text")).withColumn("page_num", F.lit(None).cast("int"))
 
@@ -170,17 +168,37 @@ def pack_paragraphs(paragraphs: list[tuple[str | None, str, int | None]], count:
     return [x for x in out if x[1]]
 
 
-def chunk_paragraphs(paragraphs: DataFrame, counter: Callable[[str], int] | None = None, optimal: int = OPTIMAL_TOKENS, keep_all: bool = False) -> DataFrame:
-    """doc_id, chunk_id, text, page_num of good chunks (all of them with keep_all), paragraphs packed in order of id within a document."""
-    count = counter or TokenCounter()
+def _chunk_bounds(items: list, optimal: int) -> list[tuple[int, int, int, int]]:
+    """(chunk_id, first, paragraphs, place of the page) of chunks with text, as pack_paragraphs() makes them. items: role and n, the tokens, of paragraphs in order."""
+    out: list[tuple[int, int, int, int]] = []
+    own = [i for i, p in enumerate(items) if p["role"] != "null"]
+    number = first = filled = 0  # the open chunk's paragraphs are those from `first` on
+    for at, i in enumerate(own):
+        role, n = items[i]["role"], items[i]["n"]
+        if filled + n > optimal:
+            out.append((number, first, at - first, i))
+            number, first, filled = number + 1, at, n
+        else:
+            filled += n
+        if role == "sectionHeading" and filled > 0.7 * optimal:
+            out.append((number, first, at - first, i))
+            number, first, filled = number + 1, at, n
+    if first < len(own):
+        out.append((number, first, len(own) - first, len(items) - 1))
+    return [x for x in out if x[2]]
+
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        none = lambda x: None if x is None or x != x else x
-        got = pack_paragraphs([(none(r), c or "", none(p)) for r, c, p in zip(rows["role"], rows["content"], rows["page_num"])], count, optimal)
-        return pd.DataFrame({"doc_id": key[0], "chunk_id": [g[0] for g in got], "text": [g[1] for g in got], "page_num": pd.array([g[2] for g in got], dtype="Int32")})
+def chunk_paragraphs(paragraphs: DataFrame, counter: Callable[[str], int] | None = None, optimal: int = OPTIMAL_TOKENS, keep_all: bool = False) -> DataFrame:
+    """doc_id, chunk_id, text, page_num of good chunks (all of them with keep_all), paragraphs packed in order of id within a document.
 
-    out = paragraphs.select("doc_id", "id", "role", "content", "page_num").groupBy("doc_id").applyInPandas(run, "doc_id string, chunk_id int, text string, page_num int")
+    Tokens are counted and texts put together in the JVM; only roles and counts go to Python, as the bounds of a chunk depend on the one before.
+    """
+    bounds = F.udf(lambda items: _chunk_bounds(items, optimal), "array<struct<chunk_id: int, first: int, n: int, page: int>>", useArrow=False)
+    content = F.concat(F.coalesce("content", F.lit("")), F.lit("\n"))
+    own = paragraphs.select("doc_id", F.struct("id", "role", content.alias("content"), F.col("page_num").cast("int").alias("page_num"), token_count(content, counter).alias("n")).alias("p"))
+    docs = own.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("all"))
+    cut = docs.select("doc_id", "all", F.transform(F.filter("all", lambda p: F.coalesce(p["role"], F.lit("")) != "null"), lambda p: p["content"]).alias("texts"), F.inline(bounds(F.transform("all", lambda p: F.struct(p["role"].alias("role"), p["n"].alias("n"))))))
+    out = cut.select("doc_id", "chunk_id", F.array_join(F.slice("texts", F.col("first") + 1, F.col("n")), " ").alias("text"), F.get("all", F.col("page"))["page_num"].alias("page_num"))
     return out if keep_all else keep_good_chunks(out)
 
 

@@ -79,3 +79,22 @@ def test_estimates():
     assert estimates.time_text(2, "gpt-4o") == "20 seconds"
     assert estimates.time_text(10, "gpt-4o") == "1.667 minutes"
     assert estimates.time_text(3, "gpt-4o-mini") == "16 seconds"
+
+
+def test_chunk_paragraphs_packs_as_pack_paragraphs(spark):
+    rng = random.Random(11)
+    rows = []
+    for d in range(40):
+        for i in range(rng.randrange(1, 60)):
+            rows.append((f"d{d}", i, rng.choice([None, "sectionHeading", "null", "body"]), rng.choice([None, "", "word " * rng.randrange(90), "é9! " * rng.randrange(200)]), rng.choice([None, 1, 2, 3])))
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id string, id int, role string, content string, page_num int").repartition(5)
+    for counter in (None, len):
+        want = {(d, *c) for d in {r[0] for r in rows} for c in pack_paragraphs([(r, c or "", p) for x, _, r, c, p in rows if x == d], counter or TokenCounter())}
+        got = chunk_paragraphs(df, counter, keep_all=True)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert "FlatMapGroupsInPandas" not in chunk_paragraphs(df)._jdf.queryExecution().toString()
+
+
+def test_split_documents_takes_no_large_batches(spark):
+    plan = split_documents(spark.createDataFrame([("1", "a")], "doc_id string, text string"))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" in plan
