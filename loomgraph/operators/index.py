@@ -59,7 +59,10 @@ def embedded(rows: DataFrame, embedder: Embedder, text: str = "text") -> DataFra
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(embedder.embed(texts.to_list()))
+        found = []
+        for lo in range(0, len(texts), 256):  # lists of Python numbers are eight times as large as what is kept
+            found += [np.array(v, dtype=np.float32) for v in embedder.embed(texts.iloc[lo : lo + 256].to_list())]
+        return pd.Series(found, dtype=object)
 
     shown = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", F.lit("null")).otherwise(F.col(text))
     return rows.withColumn(text, shown).withColumn("embedding", run(shown))
