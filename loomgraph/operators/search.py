@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from loomgraph.errors import IllogicalAction, UnknownDocument
 from loomgraph.providers import TEMPLATES, Providers, Reranker, fill
+from loomgraph.session import cut
 
 from .graphstore import Tables
 from .index import nearest
@@ -56,14 +57,25 @@ def reranked(hits: DataFrame, query: str, reranker: Reranker, threshold: float)
 
 
 def enriched(hits: DataFrame, t: Tables) -> DataFrame:
-    """hits (id, type) with metadata and parent_nodes: the node itself; an edge's `to`, then `frm`; a property's node. Unknown objects have no parents."""
-    names = t.nodes.select("id", "name")
-    n = t.nodes.select("id", F.lit("node").alias("type"), "metadata", F.array("name").alias("parent_nodes"))
-    e = t.edges.join(names.select(F.col("id").alias("frm"), F.col("name").alias("a")), "frm").join(names.select(F.col("id").alias("to"), F.col("name").alias("b")), "to").select("id", F.lit("edge").alias("type"), "metadata", F.array("b", "a").alias("parent_nodes"))
-    p = t.properties.join(names.select(F.col("id").alias("node_id"), "name"), "node_id").select("id", F.lit("property").alias("type"), "metadata", F.array("name").alias("parent_nodes"))
-    own = lambda x: x.join(hits.select("id").distinct(), "id", "left_semi")
-    found = own(n).unionByName(own(e)).unionByName(own(p))
-    return hits.join(found, ["id", "type"], "left").withColumn("parent_nodes", F.coalesce("parent_nodes", F.array().cast("array<string>")))
+    """hits (id, type) with metadata and parent_nodes: the node itself; an edge's `to`, then `frm`; a property's node. Unknown objects have no parents.
+    Each hit meets the tables of its type only, and nothing is joined that no hit asks for."""
+    rest = [c for c in hits.columns if c not in ("id", "type")]
+    own = lambda kind: hits.where(F.col("type") == kind)
+    names = lambda i: t.nodes.select(F.col("id").alias(f"_end{i}"), F.col("name").alias(f"_name{i}"), F.lit(True).alias(f"_in{i}"))
+
+    def shown(found: DataFrame, ends: int) -> DataFrame:
+        known = F.lit(True)
+        for i in range(ends):
+            known = known & F.coalesce(F.col(f"_in{i}"), F.lit(False))
+        parents = F.when(known, F.array(*(f"_name{i}" for i in range(ends)))).otherwise(F.array().cast("array<string>"))
+        return found.select("id", "type", *rest, F.when(known, F.col("_metadata")).alias("metadata"), parents.alias("parent_nodes"))
+
+    n = own("node").join(t.nodes.select("id", F.col("metadata").alias("_metadata"), F.col("name").alias("_name0"), F.lit(True).alias("_in0")), "id", "left")
+    e = own("edge").join(t.edges.select("id", F.col("metadata").alias("_metadata"), F.col("to").alias("_end0"), F.col("frm").alias("_end1")), "id", "left").join(names(0), "_end0", "left").join(names(1), "_end1", "left")
+    p = own("property").join(t.properties.select("id", F.col("metadata").alias("_metadata"), F.col("node_id").alias("_end0")), "id", "left").join(names(0), "_end0", "left")
+    other = hits.where(~F.coalesce(F.col("type").isin("node", "edge", "property"), F.lit(False)))
+    other = other.withColumns({"_metadata": F.lit(None).cast(t.nodes.schema["metadata"].dataType), "_name0": F.lit(None).cast("string"), "_in0": F.lit(False)})
+    return shown(n, 1).unionByName(shown(e, 2)).unionByName(shown(p, 1)).unionByName(shown(other, 1))
 
 
 def retrieve(index: DataFrame, t: Tables, query: str, providers: Providers, level: int, k: int, threshold: float, document_ids: list[str] | None = None) -> DataFrame:
@@ -71,7 +83,7 @@ def retrieve(index: DataFrame, t: Tables, query: str, providers: Providers, leve
     rows = index.where(F.arrays_overlap("document_ids", F.array(*map(F.lit, document_ids)))) if document_ids else index
     vector = providers.embedder.embed([query])[0]
     hits = nearest(rows, vector, k, {"level": level}).select("id", "text", "type", "distance")
-    return enriched(reranked(hits, query, providers.reranker, threshold), t)
+    return enriched(cut(reranked(hits, query, providers.reranker, threshold)), t)
 
 
 def context(hits: DataFrame, text: str = "text", rank: str = "rank", by: list[str] | None = None, end: str = "\n") -> DataFrame:

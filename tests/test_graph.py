@@ -424,3 +424,25 @@ def test_nearest_batch_holds_no_more_than_the_nearest(spark):
     few = index._Nearest(q, 5)
     few.add(np.array([[np.nan] * 8, [np.inf] * 8, [0.0] * 8]), np.array([2, 1, 0]))
     assert few.ids.tolist() == [0, 1, 2] * 7
+
+
+def test_embedded_asks_for_few_texts_at_once(spark):
+    class FewTexts(pr.HashedEmbedder):
+        def embed(self, texts):
+            assert len(texts) <= 256
+            return pr.HashedEmbedder.embed(self, texts)
+
+    rows = spark.range(700).coalesce(1).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    got = {r.id: r.embedding for r in index.embedded(rows, FewTexts(16)).collect()}
+    want = pr.HashedEmbedder(16).embed([f"text {i}" for i in range(700)])
+    assert len(got) == 700 and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in range(700))
+
+
+def test_enriched_meets_each_table_once(spark):
+    t = tables(spark)
+    hits = spark.createDataFrame([("a", "node", 1), ("a", "edge", 2), ("e1", "edge", 3), ("e9", "edge", 4), ("x", "other", 5), ("y", None, 6)], "id string, type string, n int")
+    lame = t.edges.unionByName(spark.createDataFrame([("e3", "a", "gone", "z", m("d1"))], EDGES))
+    got = {(r.id, r.n): r for r in search.enriched(hits.unionByName(spark.createDataFrame([("e3", "edge", 7)], hits.schema)), gs.Tables(t.nodes, lame, t.properties, t.node_children, t.documents, t.change_log)).collect()}
+    assert {k: r.parent_nodes for k, r in got.items()} == {("a", 1): ["a"], ("a", 2): [], ("e1", 3): ["b", "a"], ("e9", 4): [], ("x", 5): [], ("y", 6): [], ("e3", 7): []}
+    assert got["e1", 3].metadata[0].document_id == "d1" and got["e3", 7].metadata is None
+    assert "LeftSemi" not in search.enriched(hits, t)._jdf.queryExecution().optimizedPlan().toString()
